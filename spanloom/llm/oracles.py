@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from . import licenses
+
 SQL: dict[str, str] = {}
 
 SQL["op1_mixing"] = r"""
@@ -37,3 +39,40 @@ WITH RECURSIVE sized AS (
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM mixed
 """
+
+
+def _licenses() -> str:
+    """Every block against every template, without filters."""
+    templates = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES)
+    phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.BASE)
+    return rf"""
+WITH lowered AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+), worded AS (
+  SELECT doc_id, body, regexp_extract_all(body, '{licenses.LOWER}') AS words FROM lowered
+), phrases AS (
+  SELECT string_split(p, ' ') AS parts, label FROM (VALUES {phrases}) x(p, label)
+), begun AS (
+  SELECT doc_id, words, unnest(range(len(words))) AS i FROM worded WHERE contains(body, 'license')
+), hits AS (
+  SELECT doc_id, i, label FROM begun JOIN phrases ON words[i + 1] = parts[1] AND words[i + 1 : i + len(parts)] = parts
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base_list FROM hits GROUP BY doc_id
+), templates AS (
+  SELECT label, list_distinct(string_split(t, ' ')) AS need FROM (VALUES {templates}) x(label, t)
+), blocks AS (
+  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(body, chr(10))), '{licenses.LOWER}')) AS held FROM lowered
+), met AS (
+  SELECT doc_id, list(DISTINCT label) AS method, max(CAST(len(list_intersect(held, need)) AS DOUBLE) / len(need)) AS share
+  FROM blocks JOIN templates ON len(list_intersect(held, need)) >= ceil({licenses.THRESHOLD} * len(need) - 1e-9) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(base_list), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_list, []), coalesce(method, [])))), ','), '') AS labels,
+       coalesce(share, 0.0) AS score
+FROM worded w LEFT JOIN base USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
+
+SQL["op7_licenses"] = _licenses()
