@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, oracles, pii, simhash
+from . import langid, licenses, mixing, oracles, pii, simhash
 from .common import table
 
 
@@ -15,6 +15,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no markup and no address: their ``lang`` is the declaration, their source stands for the host."""
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", F.col("lid_language").alias("language"), F.round("lid_confidence", 6).alias("confidence"), F.col("lid_text_language").alias("text_language"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("n_url", "n_account")
 
@@ -30,6 +36,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_language_id": op3_language_id,
     "op5_pii": op5_pii,
     "op7_licenses": op7_licenses,
     "op10_simhash": op10_simhash,
