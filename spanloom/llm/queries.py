@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, oracles, pii, simhash
+from . import langid, licenses, mixing, neighbours, oracles, pii, simhash, topk
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), factor=3.0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have no markup and no address: their ``lang`` is the declaration, their source stands for the host."""
     found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), declared=F.col("lang"), host=F.col("source"))
@@ -29,6 +33,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -36,9 +44,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_neighbours": op2_neighbours,
     "op3_language_id": op3_language_id,
     "op5_pii": op5_pii,
     "op7_licenses": op7_licenses,
+    "op9_topk": op9_topk,
     "op10_simhash": op10_simhash,
 }
 
