@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, neighbours, oracles, pii, simhash, topk
+from . import chat, langid, licenses, mixing, neighbours, oracles, pii, quality, simhash, topk
 from .common import table
 
 
@@ -29,10 +29,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("n_url", "n_account")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top(table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neighbours": op2_neighbours,
     "op3_language_id": op3_language_id,
     "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
+    "op8_chat": op8_chat,
     "op9_topk": op9_topk,
     "op10_simhash": op10_simhash,
 }
