@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, mixing, neighbours, oracles, pii, quality, simhash, topk
+from . import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lid_language").alias("language"), F.round("lid_confidence", 6).alias("confidence"), F.col("lid_text_language").alias("text_language"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two draws for each document; the ids go into a hash here."""
+    return pieces.encode(table(spark, sf_dir, "documents"), k=2, digest=True)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("n_url", "n_account")
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_neighbours": op2_neighbours,
     "op3_language_id": op3_language_id,
+    "op4_pieces": op4_pieces,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,

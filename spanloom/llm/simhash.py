@@ -54,21 +54,21 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp, key): fp is the fingerprint as a signed long, key a hash of the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["doc_id", "fp", "key"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key")).mapInArrow(run, f"doc_id {kind}, fp long, key long")
 
 
 def masks(radius: int, turn: int = 0) -> np.ndarray:
     """For each table the mask of the bits it keeps. ``turn`` deals the vectors to the bits anew."""
     n = 1 << (radius + 1)
-    order = (np.arange(BITS) * (2 * turn + 1) + turn * (np.arange(BITS) // (n - 1))) % (n - 1) + 1
+    order = np.random.default_rng(turn).permutation(BITS) % (n - 1) + 1
     odd = np.array([[bin(int(m) & v).count("1") & 1 for m in order] for v in range(1, n)], bool)
     return np.array([sum(1 << i for i in range(BITS) if row[i]) for row in odd], np.uint64)
 
@@ -173,11 +173,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words: int = 4, radius: int = 4, most: int = 4096) -> DataFrame:
-    """(doc_id, fp, component_id): one row for each row of ``docs``."""
+    """(doc_id, fp, key, component_id): one row for each row of ``docs``."""
     slim = store(fingerprints(docs, doc_id, text, words), "fingerprints")
     distinct = store(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, radius, most))
     labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     named = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return slim.join(named, "fp").select("doc_id", "fp", "component_id")
+    return slim.join(named, "fp").select("doc_id", "fp", "key", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest id, then text hash; of rows that agree in both, one."""
+    found = near_duplicates(docs, doc_id, text, **how)
+    root = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    by_row = found.groupBy(root.alias("root"), "doc_id", "key").agg(F.count("*").alias("rows"))
+    first = by_row.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "rows")).alias("kept")).select("kept.*").select(
+        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("rows").alias("__rows")
+    )
+    kept = docs.join(first, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")))
+    repeated = kept.where("__rows > 1").dropDuplicates(["__id", "__key"])
+    return kept.where("__rows = 1").unionByName(repeated).drop("__id", "__key", "__rows")
