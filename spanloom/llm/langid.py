@@ -22,8 +22,8 @@ language listed first; repeated rows get the same result; extra columns stay; an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import store
+
 BINS = 1 << 14
 LANGUAGES = ("en", "de", "fr", "es")
 UND = "und"
@@ -40,26 +42,52 @@ CHUNK = 1 << 20  # characters worked at a time
 # Country suffixes and the language they speak for.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 
-OTHER = re.compile(r"[\W\d_]+")
+CODES = 1 << 17  # code points with letters of their own; those above count as white space
 
 
-def trigram_counts(text: str | None) -> np.ndarray:
-    """How often each bin is met in the whole text."""
-    out = np.zeros(BINS, np.int64)
-    if not text:
-        return out
-    words = f" {OTHER.sub(' ', text.lower()).strip()} "
-    if words == "  ":
-        return out
-    codes = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    for at in range(0, max(1, len(codes) - 2), CHUNK):
-        c = codes[at : at + CHUNK + 2]
-        h = (c[:-2] * np.uint64(0x9E3779B1) ^ c[1:-1] * np.uint64(0x85EBCA77)) * np.uint64(0xC2B2AE3D) + c[2:] * np.uint64(0x27D4EB2F)
-        h ^= h >> np.uint64(29)
-        out += np.bincount(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64), minlength=BINS)
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """For each code point the lower-case letter that it stands for, a space for what is no letter."""
+    out = np.full(CODES, 32, np.uint64)
+    for c in range(CODES):
+        x = chr(c)
+        if x.isalpha():
+            low = x.lower()
+            out[c] = ord(low) if len(low) == 1 and ord(low) < CODES else c
     return out
 
 
+def trigrams(text: str | None) -> Iterator[np.ndarray]:
+    """The bins of all letter trigrams of a text, CHUNK characters at a time. Runs of other characters are one space, as are both ends."""
+    if not text:
+        return
+    table, held = letters(), np.array([32], np.uint64)
+    for at in range(0, len(text), CHUNK):
+        part = text[at : at + CHUNK]
+        raw = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.concatenate([held, table[np.where(raw < CODES, raw, 32)], np.array([32] if at + CHUNK >= len(text) else [], np.uint64)])
+        c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
+        held = c[-2:]
+        if len(c) >= 3:
+            h = (c[:-2] * np.uint64(0x9E3779B1) ^ c[1:-1] * np.uint64(0x85EBCA77)) * np.uint64(0xC2B2AE3D) + c[2:] * np.uint64(0x27D4EB2F)
+            h ^= h >> np.uint64(29)
+            yield ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int64)
+
+
+def add_counts(total: np.ndarray, texts: Iterable[str | None]) -> None:
+    """Adds the texts' trigrams to one row of counts."""
+    held, size = [], 0
+    for t in texts:
+        for h in trigrams(t):
+            held.append(h)
+            size += len(h)
+            if size >= CHUNK:
+                total += np.bincount(np.concatenate(held), minlength=BINS)
+                held, size = [], 0
+    if held:
+        total += np.bincount(np.concatenate(held), minlength=BINS)
+
+
 def train(docs: DataFrame, text: str, declared: Column, languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """Log-probabilities (languages x BINS), from all rows that declare a language."""
 
@@ -67,9 +95,9 @@ def train(docs: DataFrame, text: str, declared: Column, languages: tuple[str, ..
         total = np.zeros((len(languages), BINS), np.int64)
         place = {x: i for i, x in enumerate(languages)}
         for b in batches:
-            for t, lang in zip(b.column(0), b.column(1).to_pylist()):
-                if lang in place:
-                    total[place[lang]] += trigram_counts(t.as_py())
+            said = b.column(1).to_pylist()
+            for lang, row in place.items():
+                add_counts(total[row], (t.as_py() for t, x in zip(b.column(0), said) if x == lang))
         lang, bin_ = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bin_), pa.array(total[lang, bin_])], ["lang", "bin", "n"])
 
@@ -83,15 +111,14 @@ def train(docs: DataFrame, text: str, declared: Column, languages: tuple[str, ..
 
 def likelihoods(text: Column, model: np.ndarray) -> Column:
     """array<double>: log-likelihood of the text in each language, less that in "und"; null without letters."""
-    above = model - np.log(1 / BINS)
+    above = [np.ascontiguousarray(row) for row in (model - np.log(1 / BINS)) / 3]
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            n = trigram_counts(t)
-            used = np.flatnonzero(n)
-            out.append((above[:, used] @ n[used]) / 3 if len(used) else None)
+            sums = [[row.take(h).sum() for row in above] for h in trigrams(t)]
+            out.append(np.sum(sums, axis=0) if sums else None)
         return pd.Series(out, dtype=object)
 
     return run(text)
@@ -133,7 +160,7 @@ def identify(docs: DataFrame, text: str = "text", *, declared: Column | None = N
     # Priors: global, domain, host. Texts of every row vote for what they favour alone.
     votes = extra.select("__host", best(alone).alias("language")).groupBy("__host", "language").agg(F.count("*").alias("n")).where("language is not null and language <> 'und'")
     hosts = votes.groupBy("__host").agg(*(F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)))
-    hosts = hosts.withColumn("__domain", domain_of(F.col("__host")))
+    hosts = store(hosts, "hosts").withColumn("__domain", domain_of(F.col("__host")))
     ns = [F.col(f"n{i}") for i in range(k)]
     total = [F.lit(float(x or 0)) for x in hosts.agg(*(F.sum(n) for n in ns)).first()]
     all_total = sum(total[1:], total[0])
