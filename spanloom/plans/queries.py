@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import joins, regions, scores, segments
-from . import views
+from ..config import Settings
+from ..functions import alphabet
+from ..operators import blocks, joins, kernel, regions, scores, segments
+from ..sources import readers
+from . import view, views
+from .adjudicate import annotations, located, with_ids
 from .views import aln, sql, table
 
 DISTANCE = 3  # days
@@ -325,3 +331,137 @@ def annotation_text(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.sinks import aligned
 
     return aligned(aln(spark, d).withColumn("share", F.col("score") / 100), ["target_id"], [("target_start", "right"), ("target_end", "right"), ("query_id", "left"), ("strand", "left"), ("share", "share")]).select("target_id", "ord", "line")
+
+
+@query(sql("aln") + """, spelled AS (
+  SELECT target_id, ord, array_to_string(list_transform(range(target_start, target_end + 1), lambda c: CASE WHEN (c + ord) % 6 = 0 THEN 'A/C' WHEN (c + ord) % 6 = 3 AND c > target_start THEN '-GT-' ELSE 'T' END), '') AS text FROM aln
+) SELECT target_id, ord, CAST(len(regexp_extract_all(text, '[A-Z]/[A-Z]|-[A-Z]+-|\\+[A-Z]+\\+|[A-Z]')) AS INTEGER) AS n_edits,
+  regexp_extract_all(text, '[A-Z]/[A-Z]|-[A-Z]+-|\\+[A-Z]+\\+|[A-Z]')[1] AS first_edit, regexp_replace(regexp_replace(text, '/[A-Z]', '', 'g'), '[-+]', '', 'g') AS target FROM spelled""".replace("\\\\", "\\"))
+def caf_tokenise(spark: SparkSession, d: str) -> DataFrame:
+    return _spelled(spark, d).select("target_id", "ord", F.size(alphabet.edits(F.col("text"))).alias("n_edits"), F.get(alphabet.edits(F.col("text")), F.lit(0)).alias("first_edit"),
+                                     alphabet.codes_to_string(alphabet.decode(F.col("text"))["target"]).alias("target"))
+
+
+def _spelled(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("ord")
+    letters = F.transform(F.sequence("target_start", "target_end"), lambda c: F.when((c + at) % 6 == 0, "A/C").when(((c + at) % 6 == 3) & (c > F.col("target_start")), "-GT-").otherwise("T"))
+    return aln(spark, d).select("target_id", "ord", F.array_join(letters, "").alias("text"))
+
+
+@query(sql("aln") + """, chars AS (
+  SELECT target_id, ord, c, CASE WHEN (c + ord) % 6 = 0 THEN 'S' WHEN (c + ord) % 6 = 3 AND c > target_start THEN 'G' ELSE 'T' END AS kind FROM (SELECT *, unnest(range(target_start, target_end + 1)) AS c FROM aln)
+), coded AS (
+  SELECT target_id, ord, c, CASE kind WHEN 'S' THEN [0] WHEN 'G' THEN [2, 3] ELSE [3] END AS t, CASE kind WHEN 'S' THEN [1] WHEN 'G' THEN [12, 13] ELSE [3] END AS q FROM chars
+) SELECT target_id, ord, array_to_string(flatten(list(t ORDER BY c)), ' ') AS target_codes, array_to_string(flatten(list(q ORDER BY c)), ' ') AS query_codes FROM coded GROUP BY target_id, ord""")
+def caf_decode(spark: SparkSession, d: str) -> DataFrame:
+    p = _spelled(spark, d).withColumn("d", alphabet.decode(F.col("text")))
+    return p.select("target_id", "ord", *(F.array_join(F.transform(F.col(f"d.{k}"), lambda x: x.cast("string")), " ").alias(f"{k}_codes") for k in ("target", "query")))
+
+
+@query(sql("bed") + """ SELECT o_orderkey, chrom_start + 1 AS left_start, chrom_start + 1 AS left_end, chrom_start + 2 AS first_start, chrom_start + 2 AS first_end, chrom_start + 3 AS inner_start, chrom_start + 3 AS inner_end,
+  chrom_start + 4 AS last_start, chrom_end - 1 AS last_end, chrom_end AS right_start, chrom_end AS right_end FROM bed WHERE chrom_end - chrom_start >= 5""")
+def block_group_bed(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as records of five blocks: an unaligned end, an aligned base, an inner base, the rest, an unaligned end."""
+    b = views.bed(spark, d).where("chrom_end - chrom_start >= 5")
+    n = F.col("chrom_end") - F.col("chrom_start")
+    sizes = F.array(*(x.cast("long") for x in (F.lit(1), F.lit(1), F.lit(0), n - 4, F.lit(1))))
+    starts = F.array(*(F.lit(x).cast("long") for x in (-1, 1, -1, 3, -1)))
+    records = b.select("o_orderkey", "chrom_start", "chrom_end", (F.col("chrom_start") + 1).alias("thick_start"), (F.col("chrom_end") - 1).alias("thick_end"), F.lit(5).alias("block_count"), sizes.alias("block_sizes"), starts.alias("block_starts"))
+    g = blocks.from_bed(records)
+    piece = lambda c, i: F.get(c, F.lit(i))
+    return g.select("o_orderkey", F.col("left.start").alias("left_start"), F.col("left.end").alias("left_end"), piece("aligned", 0)["start"].alias("first_start"), piece("aligned", 0)["end"].alias("first_end"),
+                    piece("inner", 0)["start"].alias("inner_start"), piece("inner", 0)["end"].alias("inner_end"), piece("aligned", 1)["start"].alias("last_start"), piece("aligned", 1)["end"].alias("last_end"),
+                    F.col("right.start").alias("right_start"), F.col("right.end").alias("right_end"))
+
+
+MATRIX = readers.Matrix("m", -27.0, -5.0, 0.12, [0.25] * 4, [0.25] * 4, [[(9.0 if t == q else -12.0) if t < 12 and q < 12 else 0.0 for q in range(15)] for t in range(15)])
+SETTINGS = Settings(target_join_distance=DISTANCE, fudge_distance=FUDGE)
+
+
+def alignments(spark: SparkSession, d: str) -> DataFrame:
+    """The interval view with letters: bases by position, the query's changed here and there."""
+    cols = F.sequence("target_start", "target_end")
+    a = aln(spark, d)
+    return a.select(
+        (F.col("target_id") * 10_000_000 + F.col("ord")).alias("ali_id"), F.col("target_id").cast("string").alias("target_name"), "target_start", "target_end",
+        F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_name"), "query_start", "query_end", "strand", F.lit("m").alias("matrix"), F.lit(200).cast("long").alias("query_length"),
+        F.transform(cols, lambda c: (c * 7 % 4).cast("tinyint")).alias("target_codes"), F.transform(cols, lambda c: ((c * 7 + F.when((c + F.col("ord")) % 5 == 0, 1).otherwise(0)) % 4).cast("tinyint")).alias("query_codes"),
+    )
+
+
+@query()
+def adjudicate(spark: SparkSession, d: str) -> DataFrame:
+    return annotations(alignments(spark, d), {"m": MATRIX}, settings=SETTINGS)
+
+
+def _grouped(spark: SparkSession, d: str, schema: str, work: Callable) -> DataFrame:
+    """``work`` over the rows of each (target, query, strand)."""
+    a = aln(spark, d)
+
+    def run(pdf):  # noqa: ANN001, ANN202
+        rows = []
+        for x in pdf.sort_values("ord").itertuples():
+            n = x.target_end - x.target_start + 1
+            rows.append(kernel.Row(("ali", x.ord), x.query_id, x.strand, x.target_start, x.target_end, x.query_start, x.query_end, conf=((np.arange(n) * 3 + x.ord) % 10 + 1) / 11.0))
+        return pd.DataFrame(work(rows, pdf.target_id.iloc[0]), columns=[f.split(" ")[0] for f in schema.split(", ")])
+
+    return a.groupBy("target_id", "query_id", "strand").applyInPandas(run, schema)
+
+
+@query()
+def greedy_assembly(spark: SparkSession, d: str) -> DataFrame:
+    def work(rows: list, target: int) -> list:
+        return [(target, m.key[1], min(x.key[1] for x in g), len(g)) for g in kernel.joined(rows, DISTANCE * 10) for m in g]
+
+    return _grouped(spark, d, "target_id long, ord long, assembly long, members long", work)
+
+
+@query()
+def mini_dp(spark: SparkSession, d: str) -> DataFrame:
+    def work(rows: list, target: int) -> list:
+        return [(target, m.key[1], s, e) for g in kernel.joined(rows, DISTANCE * 10) for m, s, e in kernel.assemble(g).pieces]
+
+    return _grouped(spark, d, "target_id long, ord long, piece_start long, piece_end long", work)
+
+
+def _rounds(spark: SparkSession, d: str) -> DataFrame:
+    kind = "array<struct<segments:array<array<bigint>>,resolved:array<bigint>,unresolved:array<bigint>,competed:array<bigint>>>"
+    found = annotations(alignments(spark, d), {"m": MATRIX}, settings=SETTINGS, rounds=True).where("rounds is not null")
+    return found.select("region_id", F.posexplode(F.from_json("rounds", kind)).alias("round", "r"))
+
+
+@query()
+def viterbi_path(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of the best path of each round."""
+    s = _rounds(spark, d).select("region_id", "round", F.explode("r.segments").alias("s"))
+    return s.select("region_id", "round", *(F.get("s", F.lit(i)).alias(n) for i, n in enumerate(("row", "col_start", "col_end"))))
+
+
+@query()
+def split_trace(spark: SparkSession, d: str) -> DataFrame:
+    """What each round settles."""
+    return _rounds(spark, d).select("region_id", "round", F.size("r.segments").alias("n_segments"), *(F.array_join(F.transform(f"r.{k}", lambda x: x.cast("string")), ",").alias(k) for k in ("resolved", "unresolved", "competed")))
+
+
+@query()
+def block_group_annotations(spark: SparkSession, d: str) -> DataFrame:
+    a = alignments(spark, d)
+    return blocks.from_annotations(annotations(a, {"m": MATRIX}, settings=SETTINGS), readers.query_lengths(a)).select("region_id", "join_id", "query_name", "strand", "visual_start", "visual_end", F.array_join("blocks", ";").alias("blocks"))
+
+
+@query()
+def bed_export(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.to_bed(annotations(alignments(spark, d), {"m": MATRIX}, settings=SETTINGS))
+
+
+@query()
+def viewer_payload(spark: SparkSession, d: str) -> DataFrame:
+    a, _ = located(with_ids(alignments(spark, d), None)[0], None, SETTINGS)
+    found = annotations(alignments(spark, d), {"m": MATRIX}, settings=SETTINGS)
+    return view.region_payloads(found, a, readers.query_lengths(a))
+
+
+@query()
+def edge_payload(spark: SparkSession, d: str) -> DataFrame:
+    a, _ = located(with_ids(alignments(spark, d), None)[0], None, SETTINGS)
+    return view.edge_payloads(a, DISTANCE * 10)
