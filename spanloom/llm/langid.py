@@ -158,7 +158,7 @@ def identify(docs: DataFrame, text: str = "text", *, declared: Column | None = N
     extra = docs.withColumns({"__declared": declared, "__host": host, "__ll": likelihoods(F.col(text), model)})
     alone = F.concat("__ll", F.array(F.lit(0.0)))
     # Priors: global, domain, host. Texts of every row vote for what they favour alone.
-    votes = extra.select("__host", best(alone).alias("language")).groupBy("__host", "language").agg(F.count("*").alias("n")).where("language is not null and language <> 'und'")
+    votes = extra.where("__ll is not null").select("__host", best(alone).alias("language")).groupBy("__host", "language").agg(F.count("*").alias("n")).where("language <> 'und'")
     hosts = votes.groupBy("__host").agg(*(F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)))
     hosts = store(hosts, "hosts").withColumn("__domain", domain_of(F.col("__host")))
     ns = [F.col(f"n{i}") for i in range(k)]
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, text: str = "text", *, declared: Column | None = N
         *(F.col(c) for c in docs.columns),
         F.when(blank, F.lit(UND)).otherwise(best(F.col("__score"))).alias("lid_language"),
         F.when(blank, F.lit(1.0)).otherwise(share).alias("lid_confidence"),
-        best(alone).alias("lid_text_language"),
+        F.when(F.col("__ll").isNotNull(), best(alone)).alias("lid_text_language"),
     )
 
 
