@@ -89,3 +89,45 @@ FROM worded w LEFT JOIN base USING (doc_id) LEFT JOIN met USING (doc_id)
 
 
 SQL["op7_licenses"] = _licenses()
+
+SQL["op8_chat"] = r"""
+WITH RECURSIVE numbered AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM conversations
+), lines AS (
+  SELECT rid, conv_id, turn, unnest(string_split_regex(text, '\r?\n')) AS line, unnest(range(len(string_split_regex(text, '\r?\n')))) AS i
+  FROM numbered WHERE text IS NOT NULL
+), parsed AS (
+  SELECT rid, conv_id, turn, i, line, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '')), '\s+', ' ', 'g')) AS bare
+  FROM lines
+), broken AS (
+  SELECT *, CASE WHEN bare = '' THEN 0 WHEN lag(level) OVER w IS DISTINCT FROM level OR lag(bare) OVER w = '' THEN 1 ELSE 0 END AS new
+  FROM parsed WINDOW w AS (PARTITION BY rid ORDER BY i)
+), runs AS (
+  SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM broken
+), passages AS (
+  SELECT rid, conv_id, turn, level, string_agg(bare, ' ' ORDER BY i) AS body FROM runs
+  WHERE bare <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY rid, conv_id, turn, run, level
+), owners AS (
+  SELECT conv_id, body, min(turn) AS owner FROM (
+    SELECT conv_id, turn, body FROM passages WHERE level = 0 UNION ALL
+    SELECT conv_id, turn, bare FROM parsed WHERE level = 0 AND bare <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY conv_id, body
+), linked AS (
+  SELECT p.conv_id, p.turn, p.level, CASE WHEN o.owner < p.turn THEN o.owner END AS owner
+  FROM passages p LEFT JOIN owners o ON p.conv_id = o.conv_id AND p.body = o.body WHERE p.level > 0
+), replies AS (
+  SELECT conv_id, turn, count(*) AS n_quotes, count(owner) AS n_linked,
+         min_by(owner, (level, -owner)) FILTER (WHERE owner IS NOT NULL) AS reply_to FROM linked GROUP BY conv_id, turn
+), climb(conv_id, turn, up) AS (
+  SELECT conv_id, turn, reply_to FROM replies WHERE reply_to IS NOT NULL
+  UNION
+  SELECT c.conv_id, c.turn, r.reply_to FROM climb c JOIN replies r ON c.conv_id = r.conv_id AND c.up = r.turn WHERE r.reply_to IS NOT NULL
+), roots AS (
+  SELECT conv_id, turn, min(up) AS root FROM climb GROUP BY conv_id, turn
+), bodies AS (
+  SELECT rid, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^\s*\n|\s+$', '', 'g') AS body FROM parsed GROUP BY rid
+)
+SELECT n.conv_id, n.turn, n.role, b.body, coalesce(r.n_quotes, 0) AS n_quotes, coalesce(r.n_linked, 0) AS n_linked, r.reply_to, coalesce(t.root, n.turn) AS thread,
+       '<|' || coalesce(n.role, 'user') || '|>' || chr(10) || coalesce(b.body, '') || chr(10) || '<|end|>' AS formatted
+FROM numbered n LEFT JOIN bodies b USING (rid) LEFT JOIN replies r ON n.conv_id = r.conv_id AND n.turn = r.turn LEFT JOIN roots t ON n.conv_id = t.conv_id AND n.turn = t.turn
+"""

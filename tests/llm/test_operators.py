@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, langid, licenses, mixing, neighbours, pieces, pii, quality, simhash, topk
+from spanloom.llm import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ", size long, key long, fp string, node string"
@@ -243,6 +243,13 @@ def test_chat(spark):
     ordered = [r.turn for r in chat.link(frame).where("conv_id = 1 and turn is not null").collect()]
     assert ordered == [0, 1, 2, 4, 5, 3]
     assert chat.link(frame.limit(0)).count() == 0
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cur = c.execute(oracles.SQL["op8_chat"])
+    names = [x[0] for x in cur.description]
+    assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in got.values())
 
 
 def test_covering():
