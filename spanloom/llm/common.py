@@ -43,3 +43,12 @@ def drop_stored(df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = jvm.org.apache.hadoop.fs.Path(parent)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def lean(df: DataFrame) -> None:
+    """Batches between Spark and Python hold at most 4 MB (64 MB is Spark's own limit): texts differ by orders of magnitude
+    in length, and a worker's memory follows the bytes of a batch. A smaller limit of the session stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "67108864b")
+    if now.rstrip("b").isdigit() and not 0 < int(now.rstrip("b")) <= 4 << 20:
+        conf.set(key, str(4 << 20))

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import lean, store
 
 BINS = 1 << 14
 LANGUAGES = ("en", "de", "fr", "es")
 UND = "und"
 MOST_HOSTS = 20_000
-CHUNK = 1 << 20  # characters worked at a time
+CHUNK = 1 << 16  # characters worked at a time
 
 # Country suffixes and the language they speak for.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
@@ -121,7 +121,8 @@ def likelihoods(text: Column, model: np.ndarray) -> Column:
             out.append(np.sum(sums, axis=0) if sums else None)
         return pd.Series(out, dtype=object)
 
-    return run(text)
+    # Not deterministic in name only: else a filter on the result would be moved below and work every text twice.
+    return run.asNondeterministic()(text)
 
 
 def host_of(url: Column) -> Column:
@@ -146,6 +147,7 @@ def identify(docs: DataFrame, text: str = "text", *, declared: Column | None = N
              trust_declared: float = 0.9, trust_suffix: float = 0.8, und_prior: float = 0.01, weight: float = 20.0) -> DataFrame:
     """``docs`` with ``lid_language`` and ``lid_confidence``, the posterior of that language (fused), and
     ``lid_text_language``, what the text alone favours (null without letters)."""
+    lean(docs)
     k = len(languages)
     none = F.lit(None).cast("string")
     declared, host = none if declared is None else declared, none if host is None else host

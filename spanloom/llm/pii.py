@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
 
@@ -176,6 +178,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             sha = pa.array([hashlib.sha256(listed(f, BASE).encode()).hexdigest() for f in found], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, sha, pa.array([listed(f, KINDS) for f in found], pa.string())], names)
 
+    lean(docs)
     schema = f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -203,6 +206,7 @@ def mask(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -
         finder = Finder()
         return texts.map(lambda t: None if t is None else masked(t, finder.spans(t)))
 
+    lean(docs)
     out = docs.withColumn(text, run(F.col(text)))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(F.col(text).isNull(), F.col(n_chars)).otherwise(F.length(text)).cast(docs.schema[n_chars].dataType))
