@@ -9,8 +9,9 @@ characters go, then validated. Kinds, in order of listing:
 - ``card``: 16 to 19 digits with single spaces or hyphens, passing Luhn's test;
 - ``phone``: a plus sign and 8 to 15 digits with punctuation;
 - ``url``: a scheme, then everything up to white space or a quote, without closing punctuation;
-- ``account``: a cue such as "IBAN" or "account no.", then one to four tokens of letters and digits that together
-  have 6 to 34 characters and a digit; after "IBAN" the check number must hold.
+- ``account``: after a cue such as "IBAN" or "account no.", an account number whose check number holds, in groups of letters
+  and digits: of its group ends the one at its country's length, else the last that holds. After other cues than "IBAN" also
+  up to nine tokens with a digit each, as many of them as together have 6 to 34 characters.
 
 Spans are code points, end exclusive, leftmost and non-overlapping within a kind; kinds may overlap each other.
 A span that fails its test is dropped, and the search goes on behind it.
@@ -48,6 +49,17 @@ CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 PHONE = re.compile(r"[\x20().0-9-]+")
 URL = re.compile(r"[^\s\"'<>`{}|\\^]+")
 ACCOUNT = re.compile(r"[\s:#.=-]{0,8}([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[\x20-][A-Za-z0-9]*[0-9][A-Za-z0-9]*){0,8})")
+IBAN = re.compile(r"[\s:#.=-]{0,8}([A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9]){10,30})")
+GROUP_END = re.compile(r"[A-Za-z0-9](?![A-Za-z0-9])")
+
+# Characters of an account number, by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18,
+    "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
+    "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31,
+    "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24,
+    "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -79,6 +91,34 @@ def iban_holds(token: str) -> bool:
     return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}", t)) and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
+def bare(token: str) -> str:
+    return re.sub(r"[\x20-]", "", token)
+
+
+def iban_at(text: str, at: int) -> tuple[int, int] | None:
+    """The account number that stands at ``at`` or shortly behind it."""
+    m = IBAN.match(text, at)
+    if m is None:
+        return None
+    start = m.start(1)
+    ends = [e.end() for e in GROUP_END.finditer(text, start, m.end() + 1) if e.end() <= m.end()]
+    holds = [e for e in ends if iban_holds(text[start:e])]
+    full = [e for e in holds if len(bare(text[start:e])) == IBAN_LENGTHS.get(text[start : start + 2].upper())]
+    return (start, (full or holds)[-1]) if holds else None
+
+
+def account_at(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    found = iban_at(text, at)
+    if found or cue == "iban":
+        return found
+    m = ACCOUNT.match(text, at)
+    if m is None:
+        return None
+    start = m.start(1)
+    ends = [e.end() for e in GROUP_END.finditer(text, start, m.end() + 1) if e.end() <= m.end() and 6 <= len(bare(text[start : e.end()])) <= 34]
+    return (start, ends[-1]) if ends else None
+
+
 def fold(text: str) -> str:
     """Lower case of the same length, so that places agree."""
     low = text.lower()
@@ -125,11 +165,9 @@ class Finder:
                     if end > last + 1:
                         out["url"].append((at, end))
                         done["url"] = end
-            elif at >= done["account"] and not (at and text[at - 1].isalnum()) and (m := ACCOUNT.match(text, last + 1)):
-                token = m[1]
-                if 6 <= len(re.sub(r"[\x20-]", "", token)) <= 34 and (fold(text[at : last + 1]) != "iban" or iban_holds(token)):
-                    out["account"].append(m.span(1))
-                    done["account"] = m.end()
+            elif at >= done["account"] and not (at and text[at - 1].isalnum()) and (span := account_at(text, last + 1, fold(text[at : last + 1]))):
+                out["account"].append(span)
+                done["account"] = span[1]
         return out
 
     @staticmethod

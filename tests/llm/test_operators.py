@@ -187,6 +187,20 @@ def test_pii(spark):
     assert r.text == "[EMAIL] [PHONE]" and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("IBAN GB82 WEST 1234 5698 7654 32", ["GB82 WEST 1234 5698 7654 32"]), ("iban: NL91 ABNA 0417 1643 00.", ["NL91 ABNA 0417 1643 00"]),
+    ("IBAN DE89370400440532013000 3 days", ["DE89370400440532013000"]), ("IBAN DE89 3704 0044 0532 0130 00 2021", ["DE89 3704 0044 0532 0130 00"]),
+    ("IBAN GB82WEST12345698765432 and so on", ["GB82WEST12345698765432"]), ("Kontonummer: GB82-WEST-1234-5698-7654-32 x", ["GB82-WEST-1234-5698-7654-32"]),
+    ("IBAN MT84 MALT 0110 0001 2345 MTLC AST0 01S", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]),
+    ("IBAN GB82 WEST 1234 5698 7654 33", []), ("IBAN DE89370400440532013000X", []), ("IBAN", []), ("acct 1234 5678 9012", ["1234 5678 9012"]), ("acct 12345", []),
+    ("acct " + "12345678 " * 5, [("12345678 " * 4).strip()]), ("IBAN GB82 WEST 1234 5698 7654 32 IBAN NL91ABNA0417164300", ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300"]),
+])
+def test_accounts_in_print(text, want):
+    found = pii.Finder().spans(text)
+    assert [text[a:b] for a, b in found["account"]] == want
+    assert all(w not in pii.masked(text, found) for w in want)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(6)
     rows, marks = [], []
