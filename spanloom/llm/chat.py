@@ -4,7 +4,8 @@ A line's quote level is the number of ``>`` marks that it begins with. A passage
 without an empty line between them; its text without marks, with white space squeezed and A-Z and other
 letters lower-cased, is hashed. Passages of level 0 are a message's own; its single own lines count as passages as well.
 A quoted passage is linked to the first message of its conversation that has the passage as its own, if that comes
-before the quoting message. A message replies to the latest of the messages that its outermost linked quotes come
+before the quoting message. An excerpt, a quoted passage of several lines that no earlier message has as a whole, is linked through its lines: each has
+a first owner, and the latest of those before the quoting message is taken, as no earlier one can hold all of the lines. A message replies to the latest of the messages that its outermost linked quotes come
 from. Replies make trees; a conversation is laid out tree by tree, in the order of the trees' first messages, each
 tree in the order of turns, so that a reply never comes before what it quotes. The body keeps own lines only.
 
@@ -36,7 +37,7 @@ def bare(line: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """array<struct<level, body>> of a text's passages, in order."""
+    """array<struct<level, body>> of a text's passages, in order; a body's lines are kept apart by line breaks."""
     lines = F.transform(F.split(text, "\r?\n"), lambda x: F.struct(level(x).alias("level"), bare(x).alias("body")))
     kind = "array<struct<level:int,body:string,open:boolean>>"
 
@@ -45,7 +46,7 @@ def passages(text: Column) -> Column:
         blank = x["body"] == ""
         goes_on = (F.size(done) > 0) & last["open"] & (last["level"] == x["level"])
         closed = F.struct(last["level"].alias("level"), last["body"].alias("body"), F.lit(False).alias("open"))
-        longer = F.struct(last["level"].alias("level"), F.concat_ws(" ", last["body"], x["body"]).alias("body"), F.lit(True).alias("open"))
+        longer = F.struct(last["level"].alias("level"), F.concat_ws("\n", last["body"], x["body"]).alias("body"), F.lit(True).alias("open"))
         new = F.struct(x["level"].alias("level"), x["body"].alias("body"), F.lit(True).alias("open"))
         head = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(blank & (F.size(done) > 0), F.concat(head, F.array(closed))).when(blank, done).when(goes_on, F.concat(head, F.array(longer))).otherwise(F.concat(done, F.array(new)))
@@ -53,13 +54,18 @@ def passages(text: Column) -> Column:
     return F.aggregate(lines, F.array().cast(kind), put)
 
 
+def one_line(body: Column) -> Column:
+    return F.translate(body, "\n", " ")
+
+
 def runs(text: Column) -> Column:
     """As ``passages``, without work on quotes where there are none: one passage for each block between empty lines."""
     plain = F.transform(
         F.filter(F.transform(F.split(text, r"(?:\r?\n)[ \t]*(?:\r?\n\s*)?(?=\n|$)|\r?\n[ \t]*\r?\n"), bare), lambda b: b != ""),
         lambda b: F.struct(F.lit(0).alias("level"), b.alias("body"), F.lit(False).alias("open")),
     )
-    return F.when(text.rlike(r"(?m)^[ \t]*>"), passages(text)).otherwise(plain)
+    quoting = F.transform(passages(text), lambda p: F.struct(p["level"].alias("level"), one_line(p["body"]).alias("body"), p["open"].alias("open")))
+    return F.when(text.rlike(r"(?m)^[ \t]*>"), quoting).otherwise(plain)
 
 
 def own_body(text: Column) -> Column:
@@ -72,15 +78,19 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     """conv_id, turn, role, body, n_quotes, n_linked, reply_to, thread, formatted: one row for each row of ``messages``, in reply order."""
     base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     parsed = base.where("conv_id is not null and turn is not null and text is not null")
-    quoting = parsed.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", F.explode(runs(F.col("text"))).alias("p")).where("p.level > 0")
-    quoted = store(quoting.select("conv_id", "turn", F.col("p.level").alias("level"), F.xxhash64("p.body").alias("hash"), F.md5("p.body").alias("sum")), "quoted")
+    quoting = parsed.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id", "turn", F.explode(passages(F.col("text"))).alias("p")).where("p.level > 0")
+    # What is looked up: the passage, then each of its lines, if there are several.
+    several = F.when(F.contains("p.body", F.lit("\n")), F.array_distinct(F.split("p.body", "\n"))).otherwise(F.array().cast("array<string>"))
+    sought = F.transform(F.concat(F.array(one_line(F.col("p.body"))), several), lambda x, i: F.struct((i == 0).alias("whole"), F.xxhash64(x).alias("hash"), F.md5(x).alias("sum")))
+    quoted = store(quoting.select("conv_id", "turn", F.col("p.level").alias("level"), F.monotonically_increasing_id().alias("quote"), sought.alias("sought")), "quoted")
     own = F.transform(F.filter(runs(F.col("text")), lambda p: p["level"] == 0), lambda p: p["body"])
     single = F.filter(F.transform(F.filter(F.split("text", "\r?\n"), lambda x: ~x.rlike(MARKS)), bare), lambda x: x != "")
     # Only conversations that quote at all can be linked.
     asked = quoted.select("conv_id").distinct()
     owned = parsed.join(asked, "conv_id", "left_semi").select("conv_id", "turn", F.explode(F.array_distinct(F.concat(own, single))).alias("body"))
     owners = owned.groupBy("conv_id", F.xxhash64("body").alias("hash"), F.md5("body").alias("sum")).agg(F.min("turn").alias("owner"))
-    linked = quoted.join(owners, ["conv_id", "hash", "sum"], "left").withColumn("owner", F.when(F.col("owner") < F.col("turn"), F.col("owner")))
+    found = quoted.select("conv_id", "turn", "level", "quote", F.inline("sought")).join(owners, ["conv_id", "hash", "sum"], "left").withColumn("owner", F.when(F.col("owner") < F.col("turn"), F.col("owner")))
+    linked = found.groupBy("conv_id", "turn", "level", "quote").agg(F.coalesce(F.max(F.when(F.col("whole"), F.col("owner"))), F.max("owner")).alias("owner"))
     known = F.col("owner").isNotNull()
     replies = store(
         linked.groupBy("conv_id", "turn").agg(

@@ -266,6 +266,19 @@ def test_chat(spark):
     assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in got.values())
 
 
+def test_chat_links_excerpts(spark):
+    rows = [
+        (1, 0, "user", "thanks\nl0"), (1, 1, "user", "thanks\nl1 \nL2\nl3"), (1, 2, "assistant", "> l1\n> l2\nanswer"), (1, 3, "user", "> l2\n> l3\n\n> nowhere\n> at all\nmore"),
+        (1, 4, "user", ">> l1\n>> l2\n> answer\nthird"), (1, 5, "user", "> thanks\n> l1\nfourth"), (1, 6, "user", "> seventh\n> eighth\nx"), (1, 7, "user", "zeroth\nseventh\neighth"),
+        (1, 8, "user", "> answer\n> only here\nfifth"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in chat.link(frame.repartition(3)).collect()}
+    assert [got[t].reply_to for t in range(9)] == [None, None, 1, 1, 2, 1, None, None, 2]
+    assert [got[t].thread for t in range(9)] == [0, 1, 1, 1, 1, 1, 6, 7, 1]
+    assert (got[3].n_quotes, got[3].n_linked, got[4].n_quotes, got[4].n_linked, got[2].body) == (2, 1, 2, 2, "answer")
+
+
 def test_covering():
     for turn in range(3):
         kept = simhash.masks(4, turn)
