@@ -184,9 +184,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return slim.join(named, "fp").select("doc_id", "fp", "key", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id, then text hash; of rows that agree in both, one."""
-    found = near_duplicates(docs, doc_id, text, **how)
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, found: DataFrame | None = None, **how: int) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one with the smallest id, then text hash; of rows that agree in both, one.
+    ``found``: components by another measure, as ``near_duplicates`` gives them."""
+    found = near_duplicates(docs, doc_id, text, **how) if found is None else found
     root = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     by_row = found.groupBy(root.alias("root"), "doc_id", "key").agg(F.count("*").alias("rows"))
     first = by_row.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "rows")).alias("kept")).select("kept.*").select(

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
+from spanloom.llm import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, resemblance, simhash, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ", size long, key long, fp string, node string"
@@ -328,3 +328,38 @@ def test_simhash(spark, most):
         kept = simhash.one_of_each(docs(spark, rows))
         assert sorted(r.doc_id for r in kept.collect()) == sorted({min(x for x in g if x is not None) for g in group.values()}) and kept.columns == docs(spark, rows).columns
         assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.one_of_each(empty(spark)).count() == 0
+
+
+def test_resemblance(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    rows = []
+    for i in range(30):
+        body = list(rng.choice(vocabulary, 200))
+        rows.append((len(rows), " ".join(body), None, None, None))
+        for changed in (1, 3, 4, 6, 9):  # each changed word touches five shingles
+            copy = list(body)
+            for k in rng.choice(200, changed, replace=False):
+                copy[k] = "zz" + copy[k]
+            rows.append((len(rows), " ".join(copy), None, None, None))
+    rows += [(1000 + i, t, None, None, None) for i, t in enumerate(ODD)] + [(None, "one", None, None, None)]
+
+    def held(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if x]
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [held(r[1]) for r in rows], list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    found = resemblance.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in found) == sorted((str(r[0]), rows[top(i)][0]) for i, r in enumerate(rows))
+    kept = simhash.one_of_each(docs(spark, rows), found=resemblance.near_duplicates(docs(spark, rows)))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[top(i)][0] for i in range(len(rows))})
+    assert resemblance.near_duplicates(empty(spark)).count() == 0
