@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -138,6 +139,17 @@ def markup_language(html: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit("")))
 
 
+def page_text(html: Column) -> Column:
+    """What a reader sees: without comments, scripts, styles and tags, with references resolved. What is never closed goes to the end."""
+    gone = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)|<[a-z/!?][^<>]*(?:>|\z)", " ")
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unescape(t))
+
+    return run(gone)
+
+
 def suffix_language(host: Column, suffixes: dict[str, str] = SUFFIXES) -> Column:
     table = F.create_map(*(F.lit(x) for kv in suffixes.items() for x in kv))
     return F.element_at(table, F.regexp_extract(host, r"\.([a-z]+)$", 1))

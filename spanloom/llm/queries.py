@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
+from . import chat, common, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
 from .common import table
 
 
@@ -20,9 +20,13 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no markup and no address: their ``lang`` is the declaration, their source stands for the host."""
-    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), declared=F.col("lang"), host=F.col("source"))
-    return found.select("doc_id", F.col("lid_language").alias("language"), F.round("lid_confidence", 6).alias("confidence"), F.col("lid_text_language").alias("text_language"))
+    """Pages, which have all the evidence: text, a declaration in the markup, an address suffix and a host."""
+    pages = table(spark, sf_dir, "pages")
+    common.lean(pages)
+    html, url = F.col("html"), F.col("url")
+    read = common.store(pages.select("page_id", langid.page_text(html).alias("text"), langid.markup_language(html).alias("declared"), langid.host_of(url).alias("host")), "pages")
+    found = langid.identify(read, declared=F.col("declared"), host=F.col("host"))
+    return found.select("page_id", F.col("lid_language").alias("language"), F.round("lid_confidence", 6).alias("confidence"), F.col("lid_text_language").alias("text_language"))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

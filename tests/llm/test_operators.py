@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, resemblance, simhash, topk
+from spanloom.llm import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, queries, resemblance, simhash, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ", size long, key long, fp string, node string"
@@ -117,6 +117,22 @@ def test_language(spark):
     assert langid.identify(empty(spark), declared=F.col("lang")).count() == 0
 
 
+def test_language_of_pages(spark, tmp_path):
+    def page(i, url, lang, words):
+        return (i, url, f"<!doctype html><html lang='{lang}'><head><script>var das='</p>und';</script><style>p{{}}</style></head><body><!-- die leute --><p class=\"haus\">{words}</p>")
+
+    rows = [page(i, f"https://www.{x}{i % 3}.example.org/a", x, " ".join(np.random.default_rng(i).permutation(TALK[x].split() * 3))) for i, x in enumerate(list(TALK) * 12)]
+    rows += [page(100, "http://x.beispiel.de/", "zz", ""), page(101, "http://x.example.com/", "", ""), page(102, None, "fr", ""), (103, None, None), (104, "http://a.b.fr/", "<html><script>the house and the people")]
+    rows += [page(105, "https://www.de0.example.org/b", "", "da die"), page(106, "https://q.net", "en", "casa &amp; gente de esta ciudad all&iacute; cuando ella vino con sus perros")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op3_language_id(spark, str(tmp_path)).toPandas().set_index("page_id")
+    assert len(got) == len(rows) and list(got.language[range(48)]) == list(TALK) * 12 and list(got.text_language[range(48)]) == list(TALK) * 12
+    assert list(got.language[[100, 101, 102, 103, 104, 105, 106]]) == ["de", "und", "fr", "und", "fr", "de", "es"]
+    assert got.text_language[[100, 101, 102, 103, 104]].isna().all()
+    text = spark.createDataFrame([("a<b>c</b>&uuml;<SCRIPT>x</script >y<!-- z",), (None,)], "html string").select(langid.page_text(F.col("html")).alias("t")).collect()
+    assert text[0].t.split() == ["a", "c", "ü", "y"] and text[1].t is None
+
+
 def test_trigrams_do_not_depend_on_chunks(monkeypatch):
     t = "Straße, 12 déjà-vu　x" * 40
     whole = np.concatenate(list(langid.trigrams(t)))
