@@ -8,6 +8,11 @@ with a prefix word are joined to the templates by that word; a pair goes on only
 word, if the block is long enough (length filter) and if that word's places in both ordered lists leave enough
 words to come (positional filter); then the overlap is counted. Nothing is missed.
 
+With ``windows`` a block is instead any run of ``len(template) / threshold`` consecutive words of a text, whatever its line breaks: wrapped
+headers count as a whole, and words scattered over a long line do not. Texts are cut into pieces of twice the longest window, each beginning one
+window behind the one before, so that every window lies in a piece; pieces without a prefix word go, and pieces go
+through the same join before their windows are counted.
+
 The base search is apart: places where a phrase's words stand consecutively.
 
 A text is read twice: to count the template words, and to cut out base places and the few blocks that hold a
@@ -84,8 +89,15 @@ def word_order(docs: DataFrame, text: str, templates: tuple[tuple[str, str], ...
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
 
+def cut(body: Column, width: int) -> Column:
+    """A text's words in pieces of twice ``width``, each as one string; every ``width`` consecutive words lie in one of them."""
+    words = words_of(body)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width, F.lit(1)), F.lit(width))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, 2 * width), " "))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, base: tuple[tuple[str, str], ...] = BASE,
-         templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+         templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row for each row of ``docs``.
     score: the largest share of a template's words that a block meeting it holds."""
     spark = docs.sparkSession
@@ -94,9 +106,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, base: t
     need = [math.ceil(threshold * len(ws) - 1e-9) for _, ws in sets]
     prefixes = [ws[: len(ws) - n + 1] for (_, ws), n in zip(sets, need)]
     one = one_of(sorted({w for p in prefixes for w in p}))
+    widths = [int(len(t.split(" ")) / threshold + 1e-9) for _, t in templates]
     index = spark.createDataFrame(
-        [(w, label, ws, i, len(ws), n) for (label, ws), n, p in zip(sets, need, prefixes) for i, w in enumerate(p)],
-        "word string, label string, template array<string>, place int, size int, need int",
+        [(w, label, ws, i, len(ws), n, width) for (label, ws), n, p, width in zip(sets, need, prefixes, widths) for i, w in enumerate(p)],
+        "word string, label string, template array<string>, place int, size int, need int, width int",
     )
 
     body = F.coalesce(F.col(text), F.lit(""))
@@ -109,7 +122,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, base: t
         F.xxhash64("body").alias("key"),
         F.regexp_count("body", F.lit(WORD)).cast("long").alias("n_words"),
         F.when(has, words_of(F.col("body"))).otherwise(F.array().cast("array<string>")).alias("words"),
-        F.when(F.col("body").rlike(one), F.filter(F.split("body", "\n"), lambda x: x.rlike(one))).alias("blocks"),
+        F.when(F.col("body").rlike(one), F.filter(cut(F.col("body"), max(widths)) if windows else F.split("body", "\n"), lambda x: x.rlike(one))).alias("blocks"),
     )
     slim = store(
         first.select("doc_id", "key", "n_words", "blocks", *(places(F.col("words"), p).alias(f"at{i}") for i, (p, _) in enumerate(base))),
@@ -138,6 +151,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, base: t
         & (F.least(F.size("own") - F.col("at"), F.col("size") - F.col("place")) >= F.col("need"))
     )
     shared = F.size(F.array_intersect(F.transform("own", lambda s: s["w"]), F.col("template")))
+    if windows:
+        in_order = F.split("block", " ")
+        starts = F.sequence(F.lit(1), F.greatest(F.size(in_order) - F.col("width") + 1, F.lit(1)))
+        counts = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(in_order, i, F.col("width")), F.col("template"))))
+        shared = F.when(shared >= F.col("need"), F.array_max(counts)).otherwise(0)
     met = candidates.withColumn("shared", shared).where("shared >= need").groupBy("bkey", "block").agg(
         F.collect_set("label").alias("method"), F.max(F.col("shared") / F.col("size")).alias("share")
     )

@@ -46,6 +46,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates in windows over the whole text. ``op7_licenses`` takes single lines, as its SQL does."""
+    return licenses.scan(table(spark, sf_dir, "documents"), windows=True)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
+    "op7_license_windows": op7_license_windows,
     "op8_chat": op8_chat,
     "op9_topk": op9_topk,
     "op10_simhash": op10_simhash,

@@ -259,6 +259,31 @@ def test_licenses(spark):
     assert licenses.scan(odd(spark)).count() == len(ODD) + 2 and licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_windows(spark):
+    rng = np.random.default_rng(10)
+    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()} | {"foo", "bar"})
+    named = dict(licenses.TEMPLATES)
+    rows = [(i, "\n".join(" ".join(rng.choice(vocabulary, rng.integers(1, 9))) for _ in range(rng.integers(1, 20))), None, None, None) for i in range(40)]
+    for i, (_, t) in enumerate(licenses.TEMPLATES):
+        w = t.split()
+        for k in range(3):  # wrapped in the middle, behind 0 to 60 other words
+            rows.append((100 + 3 * i + k, "foo " * (30 * k) + "\n# ".join([" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])]) + " bar" * 40, None, None, None))
+    rows.append((200, "all " + "foo " * 50 + "rights " + "foo " * 50 + "reserved released " + "foo " * 9 + "under the mit bar bar bar license", None, None, None))
+    got = licenses.scan(docs(spark, rows), windows=True).toPandas().set_index("doc_id")
+    for i, t, *_ in rows:
+        words, found, share = re.findall(r"[a-z0-9]+", t), set(), 0.0
+        found |= {label for p, label in licenses.BASE if f" {p} " in f" {' '.join(words)} "}
+        for label, template in licenses.TEMPLATES:
+            need, width = set(template.split()), int(len(template.split()) / licenses.THRESHOLD + 1e-9)
+            most = max(len(need & set(words[a : a + width])) for a in range(max(1, len(words) - width + 1)))
+            if most >= licenses.THRESHOLD * len(need) - 1e-9:
+                found.add(label)
+                share = max(share, most / len(need))
+        assert got.labels[i] == ",".join(sorted(found)) and abs(got.score[i] - share) < 1e-9, (i, t)
+    assert all(label in got.labels[100 + 3 * i + k].split(",") for i, label in enumerate(named) for k in range(3)) and got.labels[200] == ""
+    assert licenses.scan(odd(spark), windows=True).count() == len(ODD) + 2 and licenses.scan(empty(spark), windows=True).count() == 0
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "Hello  World\nsecond line"), (1, 1, "assistant", "> hello world\n> second line\nMy answer\n\nmore text"), (1, 2, "user", ">> hello world\n>> second line\n> My answer\nThanks"),
