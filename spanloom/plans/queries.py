@@ -251,6 +251,15 @@ def bed_overlap(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("a.chrom", "a.o_orderkey").agg(F.count("*").alias("n"), F.min("b.o_orderkey").alias("first_key"))
 
 
+@query()
+def bed_overlap_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``bed_overlap``, with all records as partners. It has no SQL; a test holds it to brute force."""
+    b = views.bed(spark, d)
+    ends = ("chrom_start", "chrom_end")
+    pairs = joins.overlaps(b, b, ["chrom"], ends, ends, 64)
+    return pairs.groupBy("a.chrom", "a.o_orderkey").agg(F.count("*").alias("n"), F.min("b.o_orderkey").alias("first_key"))
+
+
 @query(sql("aln") + """ SELECT target_id, query_id, strand, min(target_start) AS target_start, max(target_end) AS target_end,
 CASE WHEN strand = '-' THEN max(query_start) ELSE min(query_start) END AS query_start, CASE WHEN strand = '-' THEN min(query_end) ELSE max(query_end) END AS query_end, count(*) AS members FROM aln GROUP BY target_id, query_id, strand""")
 def strand_extents(spark: SparkSession, d: str) -> DataFrame:

@@ -38,5 +38,21 @@ def test_against_sql(spark, name):
     assert got == want
 
 
+def test_bed_overlap_takes_all_partners(spark):
+    from spanloom.plans import views
+
+    rows = views.bed(spark, DATA).select("chrom", "o_orderkey", "chrom_start", "chrom_end").collect()
+    by_chrom = {}
+    for r in rows:
+        by_chrom.setdefault(r.chrom, []).append(r)
+    want = []
+    for a in rows:
+        met = [b.o_orderkey for b in by_chrom[a.chrom] if a.chrom_start < b.chrom_end and a.chrom_end > b.chrom_start]
+        if met:
+            want.append((a.chrom, a.o_orderkey, len(met), min(met)))
+    got = entry.queries()["bed_overlap_all"](spark, DATA)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == len(rows)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
