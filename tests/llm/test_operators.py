@@ -83,6 +83,40 @@ def test_neighbours(spark):
     assert sorted(few.vec_id) == [1, 2] and neighbours.nearest(vectors_of(spark, [])).count() == 0
 
 
+def brute_neighbours(x, q, k):
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = neighbours.products(np.broadcast_to(x[q], x.shape), x)
+    rank = np.nan_to_num(scores, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+    ids = [i for i in np.lexsort((np.arange(len(x)), -rank)) if i != q][:k]
+    return ids, rank[ids]
+
+
+@pytest.mark.parametrize("long", [1e9, 1e16, 1e150, 1e200])
+def test_neighbours_of_very_different_lengths(spark, long):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(300, 6))
+    x[7] *= long
+    x[11] /= long
+    x[40] *= long
+    x[50:60] = x[50]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, k=8, shard=80, block=6).toPandas()
+    for q in range(0, 300, 20):
+        ids, scores = brute_neighbours(x, q, 8)
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == ids and mine.score.tolist() == scores.tolist()
+
+
+def test_neighbours_recall(spark):
+    """64 dimensions without structure, the factor of the query, repeated rows and repeated ids."""
+    x = np.random.default_rng(15).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (20, x[20].tolist()), (21, x[22].tolist())], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame, factor=3.0, shard=1000).toPandas()
+    hits = [len({*got.vec_id[got.query_id == q]} & {*brute_neighbours(x, q, 20)[0]}) / 20 for q in range(0, 3000, 20)]
+    assert np.mean(hits) >= 0.97 and (got.groupby("query_id").size() == 20).all()
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(-2, 3, size=(500, 4)) / 256  # many ties
@@ -98,6 +132,22 @@ def test_topk(spark):
     assert topk.top(vectors_of(spark, [])).count() == 0
 
 
+def test_topk_of_large_values(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(200, 4))
+    for i, by in ((3, 1e30), (5, -1e30), (9, 1e300), (50, 1e13), (100, 1e300), (120, 1e308)):
+        x[i] *= by
+    x[70:80] = x[70]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.top(frame, shard=60, block=3).toPandas()
+    whole = [[int(v) for v in r] for r in topk.whole(x, 256.0)]
+    for q in range(0, 200, 50):
+        s = [max(-topk.LONG, min(topk.LONG, sum(a * b for a, b in zip(whole[q], r)))) for r in whole]
+        want = sorted((i for i in range(200) if i != q), key=lambda i: (-s[i], i))[:5]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == want and mine.score.tolist() == [s[i] for i in want]
+
+
 TALK = {"en": "the house and the people of this town were there when she came with her dogs", "de": "das haus und die leute dieser stadt waren da als sie mit ihren hunden kam", "fr": "la maison et les gens de cette ville étaient là quand elle est venue avec ses chiens", "es": "la casa y la gente de esta ciudad estaban allí cuando ella vino con sus perros"}
 
 
