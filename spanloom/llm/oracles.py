@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from . import licenses
+from . import chat, licenses
 
 SQL: dict[str, str] = {}
 
@@ -90,15 +90,19 @@ FROM worded w LEFT JOIN base USING (doc_id) LEFT JOIN met USING (doc_id)
 
 SQL["op7_licenses"] = _licenses()
 
-SQL["op8_chat"] = r"""
-WITH RECURSIVE numbered AS (
-  SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM conversations
+
+def _chat(source: str) -> str:
+    """Threads of the messages of ``source``, of one row for each turn."""
+    blanks = r"[\x01\x02\x09-\x0D\x20]+"
+    return rf"""
+WITH {source}, numbered AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, role, text FROM messages
 ), lines AS (
   SELECT rid, conv_id, turn, unnest(string_split_regex(text, '\r?\n')) AS line, unnest(range(len(string_split_regex(text, '\r?\n')))) AS i
   FROM numbered WHERE text IS NOT NULL
 ), parsed AS (
   SELECT rid, conv_id, turn, i, line, length(regexp_replace(regexp_extract(line, '^[ \t]*(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level,
-         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '')), '\s+', ' ', 'g')) AS bare
+         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '')), '{blanks}', ' ', 'g')) AS bare
   FROM lines
 ), broken AS (
   SELECT *, CASE WHEN bare = '' THEN 0 WHEN lag(level) OVER w IS DISTINCT FROM level OR lag(bare) OVER w = '' THEN 1 ELSE 0 END AS new
@@ -106,28 +110,54 @@ WITH RECURSIVE numbered AS (
 ), runs AS (
   SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM broken
 ), passages AS (
-  SELECT rid, conv_id, turn, level, string_agg(bare, ' ' ORDER BY i) AS body FROM runs
+  SELECT rid, conv_id, turn, run, level, string_agg(bare, ' ' ORDER BY i) AS body, list(DISTINCT bare) AS held, count(*) AS n FROM runs
   WHERE bare <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY rid, conv_id, turn, run, level
 ), owners AS (
   SELECT conv_id, body, min(turn) AS owner FROM (
     SELECT conv_id, turn, body FROM passages WHERE level = 0 UNION ALL
     SELECT conv_id, turn, bare FROM parsed WHERE level = 0 AND bare <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL) GROUP BY conv_id, body
+), sought AS (
+  SELECT rid, conv_id, turn, run, level, TRUE AS whole, body FROM passages WHERE level > 0 UNION ALL
+  SELECT rid, conv_id, turn, run, level, FALSE, unnest(held) FROM passages WHERE level > 0 AND n > 1
 ), linked AS (
-  SELECT p.conv_id, p.turn, p.level, CASE WHEN o.owner < p.turn THEN o.owner END AS owner
-  FROM passages p LEFT JOIN owners o ON p.conv_id = o.conv_id AND p.body = o.body WHERE p.level > 0
+  SELECT s.conv_id, s.turn, s.level, coalesce(max(owner) FILTER (WHERE whole AND owner < s.turn), max(owner) FILTER (WHERE owner < s.turn)) AS owner
+  FROM sought s LEFT JOIN owners o ON s.conv_id = o.conv_id AND s.body = o.body GROUP BY s.rid, s.conv_id, s.turn, s.run, s.level
 ), replies AS (
-  SELECT conv_id, turn, count(*) AS n_quotes, count(owner) AS n_linked,
-         min_by(owner, (level, -owner)) FILTER (WHERE owner IS NOT NULL) AS reply_to FROM linked GROUP BY conv_id, turn
-), climb(conv_id, turn, up) AS (
-  SELECT conv_id, turn, reply_to FROM replies WHERE reply_to IS NOT NULL
-  UNION
-  SELECT c.conv_id, c.turn, r.reply_to FROM climb c JOIN replies r ON c.conv_id = r.conv_id AND c.up = r.turn WHERE r.reply_to IS NOT NULL
-), roots AS (
-  SELECT conv_id, turn, min(up) AS root FROM climb GROUP BY conv_id, turn
+  SELECT conv_id, turn, count(*) AS n_quotes, count(owner) AS n_linked, min_by(owner, (level, -owner)) FILTER (WHERE owner IS NOT NULL) AS quoted FROM linked GROUP BY conv_id, turn
+), turns AS (
+  SELECT t.conv_id, t.turn, lag(t.turn) OVER w AS before, row_number() OVER w AS nth, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, quoted
+  FROM (SELECT DISTINCT conv_id, turn FROM numbered WHERE conv_id IS NOT NULL AND turn IS NOT NULL) t LEFT JOIN replies r ON t.conv_id = r.conv_id AND t.turn = r.turn WINDOW w AS (PARTITION BY t.conv_id ORDER BY t.turn)
+), begun AS (
+  SELECT *, max(CASE WHEN before IS NULL OR quoted <> before THEN turn END) OVER w AS thread, max(CASE WHEN before IS NULL OR quoted <> before THEN nth END) OVER w AS thread_nth
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)
+), laid AS (SELECT *, (nth - thread_nth) // {chat.PART} AS part, coalesce(quoted, before) AS reply_to FROM begun),
+about AS (
+  SELECT conv_id, thread, part, first(reply_to ORDER BY turn) AS reply_to, min(turn) AS first_turn, max(turn) AS last_turn, CAST(sum(n_quotes) AS BIGINT) AS n_quotes, CAST(sum(n_linked) AS BIGINT) AS n_linked
+  FROM laid GROUP BY conv_id, thread, part
 ), bodies AS (
-  SELECT rid, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^\s*\n|\s+$', '', 'g') AS body FROM parsed GROUP BY rid
-)
-SELECT n.conv_id, n.turn, n.role, b.body, coalesce(r.n_quotes, 0) AS n_quotes, coalesce(r.n_linked, 0) AS n_linked, r.reply_to, coalesce(t.root, n.turn) AS thread,
-       '<|' || coalesce(n.role, 'user') || '|>' || chr(10) || coalesce(b.body, '') || chr(10) || '<|end|>' AS formatted
-FROM numbered n LEFT JOIN bodies b USING (rid) LEFT JOIN replies r ON n.conv_id = r.conv_id AND n.turn = r.turn LEFT JOIN roots t ON n.conv_id = t.conv_id AND n.turn = t.turn
+  SELECT rid, rtrim(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), '^[\x09-\x0D\x20]*\n', ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body FROM parsed GROUP BY rid
+), said AS (
+  SELECT DISTINCT n.conv_id, n.turn, coalesce(n.role, 'user') AS role, coalesce(b.body, '') AS body, n.conv_id IS NULL OR n.turn IS NULL AS alone, CASE WHEN n.conv_id IS NULL OR n.turn IS NULL THEN n.rid END AS rid
+  FROM numbered n LEFT JOIN bodies b USING (rid)
+), written AS (SELECT *, '<|' || role || '|>' || chr(10) || body || chr(10) || '<|end|>' || chr(10) AS line FROM said)
+SELECT a.conv_id, a.thread, CAST(a.part AS BIGINT) AS part, 0::BIGINT AS share, a.reply_to, a.first_turn, a.last_turn, x.n_messages, a.n_quotes, a.n_linked, x.text
+FROM about a JOIN (
+  SELECT l.conv_id, l.thread, l.part, count(*) AS n_messages, string_agg(w.line, '' ORDER BY w.turn, w.role, w.body) AS text
+  FROM laid l JOIN written w ON l.conv_id = w.conv_id AND l.turn = w.turn GROUP BY l.conv_id, l.thread, l.part) x ON a.conv_id = x.conv_id AND a.thread = x.thread AND a.part = x.part
+UNION ALL SELECT conv_id, NULL, 0, 0, NULL, turn, turn, 1, 0, 0, line FROM written WHERE alone
 """
+
+
+#: Every message as it stands.
+PLAIN = "messages AS (SELECT conv_id, turn, role, text FROM conversations)"
+
+#: The same messages with quotes: a third quote all lines of the turn before, a third the last line of two turns before, with that turn's own mark, and the rest nothing.
+QUOTING = r"""marked AS (
+  SELECT conv_id, turn, role, text, lag(text) OVER w AS one, lag(text, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), messages AS (
+  SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 3 = 0 AND one IS NOT NULL THEN '> ' || replace(one, chr(10), chr(10) || '> ') || chr(10) || text
+    WHEN (conv_id + turn) % 3 = 1 AND two IS NOT NULL THEN '> > ' || string_split(two, chr(10))[-1] || chr(10) || chr(10) || text ELSE text END AS text FROM marked
+)"""
+
+SQL["op8_chat"] = _chat(PLAIN)
+SQL["quoted_conversations"] = _chat(QUOTING)

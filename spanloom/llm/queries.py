@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import chat, common, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
@@ -52,7 +53,18 @@ def op7_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"))
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no quotes, so the same messages are worked once more with quotes put in: a third quote all lines of the turn before, a third the
+    last line of two turns before, the rest nothing."""
+    c = table(spark, sf_dir, "conversations")
+    w = W.partitionBy("conv_id").orderBy("turn")
+    of, one, two = (F.col("conv_id") + F.col("turn")) % 3, F.lag("text").over(w), F.lag("text", 2).over(w)
+    quoting = F.when((of == 0) & one.isNotNull(), F.concat(F.lit("> "), F.replace(one, F.lit("\n"), F.lit("\n> ")), F.lit("\n"), F.col("text")))
+    quoting = quoting.when((of == 1) & two.isNotNull(), F.concat(F.lit("> > "), F.element_at(F.split(two, "\n"), -1), F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))
+    return chat.conversations(c.withColumn("text", quoting))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": op7_licenses,
     "op7_license_windows": op7_license_windows,
     "op8_chat": op8_chat,
+    "quoted_conversations": quoted_conversations,
     "op9_topk": op9_topk,
     "op10_simhash": op10_simhash,
 }

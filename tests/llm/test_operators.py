@@ -334,27 +334,112 @@ def test_license_windows(spark):
     assert licenses.scan(odd(spark), windows=True).count() == len(ODD) + 2 and licenses.scan(empty(spark), windows=True).count() == 0
 
 
+def threads(rows, part, distinct=True):
+    """Plain version of ``chat.conversations`` for rows with a conversation and a turn, and few rows at a turn."""
+    def parse(text):
+        out, last = [], None
+        for line in re.split("\r?\n", text):
+            m = re.match(r"[ \t]*(?:>[ \t]?)+", line)
+            body = re.sub(r"[\x01\x02\x09-\x0D\x20]+", " ", line[m.end() if m else 0 :].lower()).strip(" ")
+            level = m[0].count(">") if m else 0
+            if body and (last is None or last[0] != level):
+                out.append((level, []))
+            if body:
+                out[-1][1].append(body)
+            last = (level,) if body else None
+        return out
+
+    out = []
+    for conv in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == conv]
+        turns, first = sorted({r[1] for r in own}), {}
+        for _, turn, _, text in sorted(own, key=lambda r: r[1]):
+            for level, body in parse(text or ""):
+                for x in [" ".join(body), *body] if level == 0 else []:
+                    first.setdefault(x, turn)
+        about, quoted = {t: [0, 0] for t in turns}, {}
+        for _, turn, _, text in own:
+            links = []
+            for level, body in parse(text or ""):
+                if level:
+                    before = lambda x, turn=turn: first[x] if first.get(x, turn) < turn else None
+                    owner = before(" ".join(body))
+                    if owner is None and len(body) > 1:
+                        owner = max((o for o in map(before, body) if o is not None), default=None)
+                    about[turn][0] += 1
+                    if owner is not None:
+                        about[turn][1] += 1
+                        links.append((level, -owner))
+            if links:
+                quoted[turn] = min([*links, *([quoted[turn]] if turn in quoted else [])])
+        thread, nth, prev, laid = None, 0, None, {}
+        for t in turns:
+            reply = -quoted[t][1] if t in quoted else prev
+            if prev is None or reply != prev:
+                thread, nth = t, 0
+            laid.setdefault((thread, nth // part), []).append((t, reply))
+            prev, nth = t, nth + 1
+        for (thread, n), held in laid.items():
+            said = sorted({(t, r[2] or "user", "\n".join(x for x in re.split("\r?\n", r[3] or "") if not re.match(r"[ \t]*>", x))) for t, _ in held for r in own if r[1] == t})
+            said = [(t, role, re.sub(r"\A[\x09-\x0D\x20]*\n", "", body).rstrip("\t\n\x0b\f\r ")) for t, role, body in said]
+            said = sorted(set(said))
+            text = "".join(f"<|{role}|>\n{body}\n<|end|>\n" for _, role, body in said)
+            out.append((conv, thread, n, held[0][1], held[0][0], held[-1][0], len(said), sum(about[t][0] for t, _ in held), sum(about[t][1] for t, _ in held), text))
+    return sorted(out, key=str)
+
+
+CHAT = "conv_id long, turn long, role string, text string"
+ROW = ["conv_id", "thread", "part", "reply_to", "first_turn", "last_turn", "n_messages", "n_quotes", "n_linked", "text"]
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "user", "Hello  World\nsecond line"), (1, 1, "assistant", "> hello world\n> second line\nMy answer\n\nmore text"), (1, 2, "user", ">> hello world\n>> second line\n> My answer\nThanks"),
         (1, 3, "user", "> unknown\nnew root"), (1, 4, "assistant", "> second line\nlate reply"), (1, 5, "user", "> late reply\n\n> new root\nboth"), (1, None, "user", "> x"), (None, 1, None, None), (2, 0, "user", None), (2, 1, "user", ""),
     ]
-    frame = spark.createDataFrame([(*r, 0, "x") for r in rows], "conv_id long, turn long, role string, text string, thread int, body string")
-    got = {(r.conv_id, r.turn): r for r in chat.link(frame).collect()}
-    assert len(got) == len(rows)
-    assert [got[1, t].reply_to for t in range(6)] == [None, 0, 1, None, 0, 4] and [got[1, t].thread for t in range(6)] == [0, 0, 0, 3, 0, 0]
-    assert got[1, 1].body == "My answer\n\nmore text" and got[1, 2].n_quotes == 2 and got[1, 2].n_linked == 2 and got[2, 0].body is None
-    assert got[1, 2].formatted == "<|user|>\nThanks\n<|end|>"
-    ordered = [r.turn for r in chat.link(frame).where("conv_id = 1 and turn is not null").collect()]
-    assert ordered == [0, 1, 2, 4, 5, 3]
-    assert chat.link(frame.limit(0)).count() == 0
+    frame = spark.createDataFrame([(*r, 0, "x") for r in rows], CHAT + ", thread int, body string")
+    whole = [r for r in rows if r[0] is not None and r[1] is not None]
+    quoted = {(r.conv_id, r.turn): r for r in chat.replies(spark.createDataFrame(whole, CHAT).where("text is not null")).collect()}
+    assert [quoted[1, t].quoted if (1, t) in quoted else None for t in range(6)] == [None, 0, 1, None, 0, 4]
+    assert (quoted[1, 2].n_quotes, quoted[1, 2].n_linked) == (2, 2)
+    got = chat.conversations(frame, part=2, span=3).collect()
+    assert sorted((tuple(r[n] for n in ROW) for r in got if r.thread is not None), key=str) == threads(whole, 2)
+    alone = sorted(((r.conv_id, r.first_turn, r.text) for r in got if r.thread is None), key=str)
+    assert alone == [(1, None, "<|user|>\n\n<|end|>\n"), (None, 1, "<|user|>\n\n<|end|>\n")]
+    texts = {(r.thread, r.part): r.text for r in got if r.conv_id == 1 and r.thread is not None}
+    assert list(texts[0, 0].split("<|end|>\n")[:2]) == ["<|user|>\nHello  World\nsecond line\n", "<|assistant|>\nMy answer\n\nmore text\n"] and (4, 0) in texts
+    assert chat.conversations(frame.limit(0)).count() == 0
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
     c.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     c.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     cur = c.execute(oracles.SQL["op8_chat"])
     names = [x[0] for x in cur.description]
-    assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in got.values())
+    assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in chat.conversations(frame).collect())
+
+
+@pytest.mark.parametrize("span", [3, 4096])
+def test_chat_of_random_quotes(spark, span):
+    rng = np.random.default_rng(17)
+    rows = []
+    for conv in range(12):
+        texts = []
+        for turn in range(30):
+            own = "\n".join(" ".join(rng.choice(["Ab", "c", "dE", "f\t"], 2)) for _ in range(rng.integers(0, 4)))
+            head = []
+            for _ in range(rng.integers(0, 3)):
+                of = texts[rng.integers(len(texts))].split("\n") if texts else ["x"]
+                a = rng.integers(len(of))
+                mark = rng.choice([">", "> ", " > > ", ">>"])
+                head.append("\n".join(mark + x for x in of[a : a + rng.integers(1, 4)]) + rng.choice(["\n", "\r\n\n", "\n \n"]))
+            texts.append("".join(head) + own)
+            for _ in range(1 + (turn == 5)):  # a repeated row
+                rows.append((conv, turn * (1 + conv % 3), ["user", None][turn % 2], texts[-1]))
+            if turn == 6:
+                rows.append((conv, turn * (1 + conv % 3), "user", "another"))
+    got = chat.conversations(spark.createDataFrame(rows, CHAT).repartition(3), part=4, span=span).collect()
+    assert sorted((tuple(r[n] for n in ROW) for r in got), key=str) == threads(rows, 4)
+    assert sum(r.n_linked for r in got) > 200
 
 
 def test_chat_links_excerpts(spark):
@@ -363,11 +448,20 @@ def test_chat_links_excerpts(spark):
         (1, 4, "user", ">> l1\n>> l2\n> answer\nthird"), (1, 5, "user", "> thanks\n> l1\nfourth"), (1, 6, "user", "> seventh\n> eighth\nx"), (1, 7, "user", "zeroth\nseventh\neighth"),
         (1, 8, "user", "> answer\n> only here\nfifth"),
     ]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.turn: r for r in chat.link(frame.repartition(3)).collect()}
-    assert [got[t].reply_to for t in range(9)] == [None, None, 1, 1, 2, 1, None, None, 2]
-    assert [got[t].thread for t in range(9)] == [0, 1, 1, 1, 1, 1, 6, 7, 1]
-    assert (got[3].n_quotes, got[3].n_linked, got[4].n_quotes, got[4].n_linked, got[2].body) == (2, 1, 2, 2, "answer")
+    got = {r.turn: r for r in chat.replies(spark.createDataFrame(rows, CHAT).repartition(3)).collect()}
+    assert [got[t].quoted if t in got else None for t in range(9)] == [None, None, 1, 1, 2, 1, None, None, 2]
+    assert (got[3].n_quotes, got[3].n_linked, got[4].n_quotes, got[4].n_linked) == (2, 1, 2, 2)
+
+
+def test_chat_of_long_messages(spark):
+    """Work follows the length of a message, and a turn with many rows is dealt to several parts."""
+    long = "\n".join(f"> line {i}" if i % 2 else f"own {i}" for i in range(60_000))
+    rows = [(1, 0, "user", "\n".join(f"line {i}" for i in range(3))), (1, 1, "user", long), *((2, 0, "user", f"m{i}") for i in range(300))]
+    got = chat.conversations(spark.createDataFrame(rows, CHAT)).collect()
+    first = [r for r in got if r.conv_id == 1]
+    assert sum(r.n_quotes for r in first) == 30_000 and sum(r.n_linked for r in first) == 1 and sum(r.text.count("own ") for r in first) == 30_000
+    other = [r for r in got if r.conv_id == 2]
+    assert len(other) > 2 and sum(r.n_messages for r in other) == 300 and max(r.n_messages for r in other) < 150
 
 
 def test_covering():
