@@ -45,6 +45,16 @@ def drop_stored(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as set it apart from the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def lean(df: DataFrame) -> None:
     """Batches between Spark and Python hold at most 4 MB (64 MB is Spark's own limit): texts differ by orders of magnitude
     in length, and a worker's memory follows the bytes of a batch. A smaller limit of the session stays."""

@@ -17,7 +17,8 @@ split by adaptive skew handling.
 
 Defined results: null or letterless text has no text evidence: if nothing else speaks for a language, it is "und";
 null declarations, suffixes and hosts are no evidence; null hosts share the global prior; equal posteriors go to the
-language listed first; repeated rows get the same result; extra columns stay; an empty table gives an empty result.
+language listed first; repeated rows get the same result; extra columns stay, those named ``lid_language``, ``lid_confidence`` and
+``lid_text_language`` are replaced; texts are worked whole, a piece at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, store
+from .common import fresh, lean, store
 
 BINS = 1 << 14
 LANGUAGES = ("en", "de", "fr", "es")
@@ -155,59 +156,61 @@ def suffix_language(host: Column, suffixes: dict[str, str] = SUFFIXES) -> Column
     return F.element_at(table, F.regexp_extract(host, r"\.([a-z]+)$", 1))
 
 
-def identify(docs: DataFrame, text: str = "text", *, declared: Column | None = None, host: Column | None = None, languages: tuple[str, ...] = LANGUAGES,
+def identify(docs: DataFrame, text: str = "text", *, declared: Column | None = None, host: Column | None = None, languages: tuple[str, ...] = LANGUAGES, keep: list[str] | None = None,
              trust_declared: float = 0.9, trust_suffix: float = 0.8, und_prior: float = 0.01, weight: float = 20.0) -> DataFrame:
-    """``docs`` with ``lid_language`` and ``lid_confidence``, the posterior of that language (fused), and
-    ``lid_text_language``, what the text alone favours (null without letters)."""
+    """``docs`` (or its columns ``keep``) with ``lid_language`` and ``lid_confidence``, the posterior of that language (fused), and
+    ``lid_text_language``, what the text alone favours (null without letters). Texts are scored once: what is kept is written with its likelihoods."""
     lean(docs)
     k = len(languages)
     none = F.lit(None).cast("string")
     declared, host = none if declared is None else declared, none if host is None else host
     model = train(docs, text, declared, languages)
     names = F.array(*map(F.lit, (*languages, UND)))
+    own = [c for c in docs.columns if c not in ("lid_language", "lid_confidence", "lid_text_language") and (keep is None or c in keep)]
+    said, at, ll, score, prior_host, prior, domain = fresh(docs.columns, "declared__", "host__", "ll__", "score__", "prior_host__", "prior__", "domain__")
 
     def best(scores: Column) -> Column:
         return F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
 
-    extra = docs.withColumns({"__declared": declared, "__host": host, "__ll": likelihoods(F.col(text), model)})
-    alone = F.concat("__ll", F.array(F.lit(0.0)))
+    extra = store(docs.select(*own, declared.alias(said), host.alias(at), likelihoods(F.col(text), model).alias(ll)), "likelihoods")
+    alone = F.concat(ll, F.array(F.lit(0.0)))
     # Priors: global, domain, host. Texts of every row vote for what they favour alone.
-    votes = extra.where("__ll is not null").select("__host", best(alone).alias("language")).groupBy("__host", "language").agg(F.count("*").alias("n")).where("language <> 'und'")
-    hosts = votes.groupBy("__host").agg(*(F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)))
-    hosts = store(hosts, "hosts").withColumn("__domain", domain_of(F.col("__host")))
+    votes = extra.where(F.col(ll).isNotNull()).select(F.col(at).alias("host"), best(alone).alias("language")).groupBy("host", "language").agg(F.count("*").alias("n")).where("language <> 'und'")
+    hosts = votes.groupBy("host").agg(*(F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)))
+    hosts = store(hosts, "hosts").withColumn(domain, domain_of(F.col("host")))
     ns = [F.col(f"n{i}") for i in range(k)]
     total = [F.lit(float(x or 0)) for x in hosts.agg(*(F.sum(n) for n in ns)).first()]
     all_total = sum(total[1:], total[0])
     world = [(n + 1.0) / (all_total + float(k)) for n in total]
-    in_domain = hosts.groupBy("__domain").agg(*(F.sum(n).alias(f"d{i}") for i, n in enumerate(ns)))
+    in_domain = hosts.groupBy(domain).agg(*(F.sum(n).alias(f"d{i}") for i, n in enumerate(ns)))
     sum_of = lambda xs: sum(xs[1:], xs[0])
     ds = [F.col(f"d{i}") for i in range(k)]
-    smoothed = hosts.where("__host is not null").join(in_domain, "__domain").select(
-        F.col("__host").alias("__prior_host"),
-        F.array(*((n + weight * ((d + weight * w) / (sum_of(ds) + weight))) / (sum_of(ns) + weight) for n, d, w in zip(ns, ds, world))).alias("__prior"),
+    smoothed = hosts.where("host is not null").join(in_domain, domain).select(
+        F.col("host").alias(prior_host),
+        F.array(*((n + weight * ((d + weight * w) / (sum_of(ds) + weight))) / (sum_of(ns) + weight) for n, d, w in zip(ns, ds, world))).alias(prior),
     )
     few = smoothed.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS
-    joined = extra.join(F.broadcast(smoothed) if few else smoothed, F.col("__host") == F.col("__prior_host"), "left")
+    joined = extra.join(F.broadcast(smoothed) if few else smoothed, F.col(at) == F.col(prior_host), "left")
 
-    def spoken(said: Column, trust: float) -> list[Column]:
+    def spoken(what: Column, trust: float) -> list[Column]:
         """Log-likelihood of a statement in each language and in und; nothing where it names none of them."""
-        knows = said.isin(*languages)
-        per = [F.when(knows, F.when(said == x, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log((1 - trust) / max(k - 1, 1)))))).otherwise(F.lit(0.0)) for x in languages]
+        knows = what.isin(*languages)
+        per = [F.when(knows, F.when(what == x, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log((1 - trust) / max(k - 1, 1)))))).otherwise(F.lit(0.0)) for x in languages]
         return [*(F.coalesce(p, F.lit(0.0)) for p in per), F.when(knows, F.lit(float(np.log(1 / k)))).otherwise(F.lit(0.0))]
 
-    d, s = spoken(F.col("__declared"), trust_declared), spoken(suffix_language(F.col("__host")), trust_suffix)
-    prior = [F.log(F.coalesce(F.get("__prior", F.lit(i)), w)) + float(np.log(1 - und_prior)) for i, w in enumerate(world)] + [F.lit(float(np.log(und_prior)))]
-    heard = [F.coalesce(F.get("__ll", F.lit(i)), F.lit(0.0)) for i in range(k)] + [F.lit(0.0)]
+    d, s = spoken(F.col(said), trust_declared), spoken(suffix_language(F.col(at)), trust_suffix)
+    priors = [F.log(F.coalesce(F.get(prior, F.lit(i)), w)) + float(np.log(1 - und_prior)) for i, w in enumerate(world)] + [F.lit(float(np.log(und_prior)))]
+    heard = [F.coalesce(F.get(ll, F.lit(i)), F.lit(0.0)) for i in range(k)] + [F.lit(0.0)]
     # Without letters, a prior alone is no sign of a language.
-    blank = F.col("__ll").isNull() & F.coalesce(~F.col("__declared").isin(*languages), F.lit(True)) & suffix_language(F.col("__host")).isNull()
-    scored = joined.withColumn("__score", F.array(*(h + x + y + p for h, x, y, p in zip(heard, d, s, prior))))
-    low = F.array_max("__score")
-    share = F.lit(1.0) / F.aggregate("__score", F.lit(0.0), lambda a, x: a + F.exp(x - low))
+    blank = F.col(ll).isNull() & F.coalesce(~F.col(said).isin(*languages), F.lit(True)) & suffix_language(F.col(at)).isNull()
+    scored = joined.withColumn(score, F.array(*(h + x + y + p for h, x, y, p in zip(heard, d, s, priors))))
+    low = F.array_max(score)
+    share = F.lit(1.0) / F.aggregate(score, F.lit(0.0), lambda a, x: a + F.exp(x - low))
     return scored.select(
-        *(F.col(c) for c in docs.columns),
-        F.when(blank, F.lit(UND)).otherwise(best(F.col("__score"))).alias("lid_language"),
+        *own,
+        F.when(blank, F.lit(UND)).otherwise(best(F.col(score))).alias("lid_language"),
         F.when(blank, F.lit(1.0)).otherwise(share).alias("lid_confidence"),
-        F.when(F.col("__ll").isNotNull(), best(alone)).alias("lid_text_language"),
+        F.when(F.col(ll).isNotNull(), best(alone)).alias("lid_text_language"),
     )
 
 

@@ -26,7 +26,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.lean(pages)
     html, url = F.col("html"), F.col("url")
     read = common.store(pages.select("page_id", langid.page_text(html).alias("text"), langid.markup_language(html).alias("declared"), langid.host_of(url).alias("host")), "pages")
-    found = langid.identify(read, declared=F.col("declared"), host=F.col("host"))
+    found = langid.identify(read, declared=F.col("declared"), host=F.col("host"), keep=["page_id"])
     return found.select("page_id", F.col("lid_language").alias("language"), F.round("lid_confidence", 6).alias("confidence"), F.col("lid_text_language").alias("text_language"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -183,6 +184,68 @@ def test_language_of_pages(spark, tmp_path):
     assert text[0].t.split() == ["a", "c", "ü", "y"] and text[1].t is None
 
 
+def plain_language(rows, trust=0.9, suffix_trust=0.8, und=0.01, weight=20.0):
+    """Posteriors of (text, declared, host) rows in plain Python: whole numbers for hashes, dictionaries for counts."""
+    langs, bins, mask = langid.LANGUAGES, langid.BINS, (1 << 64) - 1
+
+    def grams(text):
+        letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 and ord(c.lower()) < langid.CODES else c if c.isalpha() and ord(c) < langid.CODES else " " for c in text or "")
+        t = " " + " ".join(letters.split()) + " " if letters.strip() else ""
+        for a, b, c in zip(map(ord, t), map(ord, t[1:]), map(ord, t[2:])):
+            h = ((((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) * 0xC2B2AE3D) + c * 0x27D4EB2F) & mask
+            h ^= h >> 29
+            yield (h * 0x9E3779B97F4A7C15 & mask) >> 50
+
+    counts = {x: [0] * bins for x in langs}
+    for text, said, _ in rows:
+        for g in grams(text) if said in counts else []:
+            counts[said][g] += 1
+    prob = {}
+    for x, c in counts.items():
+        smooth = [n + 0.5 + 1e-6 * sum(c) / bins for n in c]
+        prob[x] = [n / sum(smooth) for n in smooth]
+    alone = []
+    for text, _, _ in rows:
+        g = list(grams(text))
+        alone.append([sum(math.log(prob[x][i] * bins) for i in g) / 3 for x in langs] if g else None)
+    votes, dom = {}, lambda h: None if h is None else ".".join(h.split(".")[-2:])
+    for (_, _, host), ll in zip(rows, alone):
+        if ll and max(ll) > 0:
+            votes.setdefault(host, [0] * 4)[ll.index(max(ll))] += 1
+    whole = [sum(v[i] for v in votes.values()) for i in range(4)]
+    world = [(n + 1) / (sum(whole) + 4) for n in whole]
+    out = []
+    for (_, said, host), ll in zip(rows, alone):
+        d = [sum(v[i] for h, v in votes.items() if h is not None and dom(h) == dom(host)) for i in range(4)]
+        prior = [(votes[host][i] + weight * (d[i] + weight * w) / (sum(d) + weight)) / (sum(votes[host]) + weight) for i, w in enumerate(world)] if host in votes and host is not None else world
+        speaks = [(said if said in langs else None, trust), (langid.SUFFIXES.get(host.split(".")[-1]) if host and "." in host else None, suffix_trust)]
+        score = [math.log(p) + math.log(1 - und) + (ll[i] if ll else 0) for i, p in enumerate(prior)] + [math.log(und)]
+        for what, t in speaks:
+            if what:
+                score = [s + math.log(t if x == what else (1 - t) / 3 if x else 1 / 4) for s, x in zip(score, (*langs, ""))]
+        blank = not ll and not any(w for w, _ in speaks)
+        top = max(score)
+        out.append((langid.UND, 1.0) if blank else ((*langs, langid.UND)[score.index(top)], 1 / sum(math.exp(s - top) for s in score)))
+    return out
+
+
+def test_language_against_a_plain_version(spark):
+    rng = np.random.default_rng(18)
+    hosts = [None, "a.de", "b.a.de", "www.x.com", "m.x.com", "y.com", "solo", "z.fr"]
+    rows = []
+    for i in range(160):
+        of = list(TALK)[i % 4]
+        text = " ".join(rng.choice(TALK[of].split(), rng.integers(0, 6))) + ["", " 12 ", "ß Ж", "\n!"][i % 4]
+        rows.append((None if i % 29 == 0 else text, [of, None, "zz", "en"][int(rng.integers(4))], hosts[int(rng.integers(len(hosts)))]))
+    rows += rows[:5]
+    frame = spark.createDataFrame([(i, *r, "x", 0) for i, r in enumerate(rows)], "id long, text string, said string, host string, ll__ string, lid_language long")
+    out = langid.identify(frame, declared=F.col("said"), host=F.col("host"))
+    assert out.columns == ["id", "text", "said", "host", "ll__", "lid_language", "lid_confidence", "lid_text_language"]
+    got, want = out.toPandas().sort_values("id"), plain_language(rows)
+    assert np.allclose(got.lid_confidence, [w[1] for w in want]) and got.lid_language.tolist() == [w[0] for w in want]
+    assert len({w[0] for w in want}) == 5
+
+
 def test_trigrams_do_not_depend_on_chunks(monkeypatch):
     t = "Straße, 12 déjà-vu　x" * 40
     whole = np.concatenate(list(langid.trigrams(t)))
