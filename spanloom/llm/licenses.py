@@ -20,7 +20,7 @@ prefix word. Joins move only those blocks. A template list is fixed and small, s
 
 Defined results: a null text is empty: no words, null places, empty labels, score 0; repeated rows get the same
 result each; a null id is kept and is its own key; ties have no part, as labels are sets; an empty table gives
-an empty result; a text without line breaks is one block, whatever its length.
+an empty result; without ``windows`` a text without line breaks is one block, whatever its length; columns other than id and text have no part.
 """
 
 from __future__ import annotations
@@ -89,11 +89,16 @@ def word_order(docs: DataFrame, text: str, templates: tuple[tuple[str, str], ...
     return sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
 
 
-def cut(body: Column, width: int) -> Column:
-    """A text's words in pieces of twice ``width``, each as one string; every ``width`` consecutive words lie in one of them."""
+def width(template: str, threshold: float = THRESHOLD) -> int:
+    """Words of a window: so many that a window with nothing but the template's words may have a fifth of others between them."""
+    return int(len(template.split(" ")) / threshold + 1e-9)
+
+
+def cut(body: Column, wide: int) -> Column:
+    """A text's words in pieces of twice ``wide``, each as one string; every ``wide`` consecutive words lie in one of them."""
     words = words_of(body)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width, F.lit(1)), F.lit(width))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, 2 * width), " "))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - wide, F.lit(1)), F.lit(wide))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, 2 * wide), " "))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, base: tuple[tuple[str, str], ...] = BASE,
@@ -106,9 +111,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, base: t
     need = [math.ceil(threshold * len(ws) - 1e-9) for _, ws in sets]
     prefixes = [ws[: len(ws) - n + 1] for (_, ws), n in zip(sets, need)]
     one = one_of(sorted({w for p in prefixes for w in p}))
-    widths = [int(len(t.split(" ")) / threshold + 1e-9) for _, t in templates]
+    widths = [width(t, threshold) for _, t in templates]
     index = spark.createDataFrame(
-        [(w, label, ws, i, len(ws), n, width) for (label, ws), n, p, width in zip(sets, need, prefixes, widths) for i, w in enumerate(p)],
+        [(w, label, ws, i, len(ws), n, wide) for (label, ws), n, p, wide in zip(sets, need, prefixes, widths) for i, w in enumerate(p)],
         "word string, label string, template array<string>, place int, size int, need int, width int",
     )
 

@@ -55,8 +55,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 
 def _licenses() -> str:
-    """Every block against every template, without filters."""
-    templates = ", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES)
+    """Every window of every text that holds enough of a template's words."""
+    templates = ", ".join(f"('{label}', '{text}', {licenses.width(text)})" for label, text in licenses.TEMPLATES)
     phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.BASE)
     return rf"""
 WITH lowered AS (
@@ -72,12 +72,14 @@ WITH lowered AS (
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base_list FROM hits GROUP BY doc_id
 ), templates AS (
-  SELECT label, list_distinct(string_split(t, ' ')) AS need FROM (VALUES {templates}) x(label, t)
-), blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(body, chr(10))), '{licenses.LOWER}')) AS held FROM lowered
+  SELECT label, list_distinct(string_split(t, ' ')) AS need, width FROM (VALUES {templates}) x(label, t, width)
+), windows AS (
+  SELECT doc_id, label, need, words, width, unnest(range(greatest(len(words) - width, 0) + 1)) AS i
+  FROM worded JOIN templates ON len(list_intersect(need, words)) >= ceil({licenses.THRESHOLD} * len(need) - 1e-9)  -- no window holds more than its text
+), counted AS (
+  SELECT doc_id, label, len(need) AS size, max(len(list_intersect(need, words[i + 1 : i + width]))) AS shared FROM windows GROUP BY doc_id, label, len(need)
 ), met AS (
-  SELECT doc_id, list(DISTINCT label) AS method, max(CAST(len(list_intersect(held, need)) AS DOUBLE) / len(need)) AS share
-  FROM blocks JOIN templates ON len(list_intersect(held, need)) >= ceil({licenses.THRESHOLD} * len(need) - 1e-9) GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS method, max(CAST(shared AS DOUBLE) / size) AS share FROM counted WHERE shared >= ceil({licenses.THRESHOLD} * size - 1e-9) GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
        CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

@@ -44,11 +44,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
-
-
-def op7_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates in windows over the whole text. ``op7_licenses`` takes single lines, as its SQL does."""
+    """Templates in windows of words over the whole text: wrapped notices are met, and words scattered over a long line are not."""
     return licenses.scan(table(spark, sf_dir, "documents"), windows=True)
 
 
@@ -84,7 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
-    "op7_license_windows": op7_license_windows,
     "op8_chat": op8_chat,
     "quoted_conversations": quoted_conversations,
     "op9_topk": op9_topk,

@@ -42,9 +42,11 @@ def whole(rows: np.ndarray, scale: float) -> np.ndarray:
 def exact_scores(a: np.ndarray, most: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products of rows with ``q`` as longs. ``most``: each row's largest component."""
     with np.errstate(over="ignore", invalid="ignore"):
-        safe = most * np.abs(q).max(initial=0) * max(1, len(q)) < 2**52
-        out = np.where(safe, a @ q, 0.0).astype(np.int64)
-    parts = [int(x) for x in q] if not safe.all() else []
+        safe, sums = most * (np.abs(q).max(initial=0) * max(1, len(q))) < 2**52, a @ q
+    if safe.all():
+        return sums.astype(np.int64)
+    out = np.where(safe, sums, 0.0).astype(np.int64)
+    parts = [int(x) for x in q]
     for i in np.flatnonzero(~safe).tolist():
         out[i] = min(max(sum(int(x) * y for x, y in zip(a[i].tolist(), parts)), -LONG), LONG)
     return out
@@ -114,7 +116,9 @@ def top(frame: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
                     # The query's own vector may hold one place, so the k + 1st distinct vector's score must stand above the rest.
                     if done < len(order) and done > k and np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1] > b[order[done]]:
                         break
-                keep = np.lexsort((index.first[order[:done]], -scores))[: k + 1]
+                edge = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1] if len(scores) > k else scores.min()
+                keep = np.flatnonzero(scores >= edge)
+                keep = keep[np.lexsort((index.first[order[keep]], -scores[keep]))][: k + 1]
                 some, best = vectors.best(q, k, scores[keep], [index.groups[x] for x in order[keep]])
                 out.append((np.full(len(some), i), some, best))
         return tuple(np.concatenate(x) for x in zip(*out))
