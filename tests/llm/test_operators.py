@@ -15,7 +15,7 @@ from spanloom.llm import chat, langid, licenses, mixing, neighbours, oracles, pi
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ", size long, key long, fp string, node string"
-ODD = [None, "", " \t\n", "one", "one two three", "word " * 40_000, "MIT License, é", "MIT License, é", "▁ a b", "x@y.z +1 (555) 123-4567"]
+ODD = [None, "", " \t\n", "one", "one two three", "word " * 40_000, "MIT License, é", "MIT License, é", "▁ a b", "x@y.z +1 (555) 123-4567", "a\ufdd0b \u2581\ufdd0 \U0001f600"]
 
 
 def docs(spark, rows):
@@ -578,7 +578,8 @@ def test_simhash(spark, most):
         assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.one_of_each(empty(spark)).count() == 0
 
 
-def test_resemblance(spark):
+@pytest.mark.parametrize("most", [16, 1])
+def test_resemblance(spark, most):
     rng = np.random.default_rng(12)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
     rows = []
@@ -590,6 +591,12 @@ def test_resemblance(spark):
             for k in rng.choice(200, changed, replace=False):
                 copy[k] = "zz" + copy[k]
             rows.append((len(rows), " ".join(copy), None, None, None))
+    family = list(rng.choice(vocabulary, 200))  # one large bucket after another, with several components in them
+    for i in range(150):
+        copy = list(family)
+        for k in rng.choice(200, int(rng.integers(0, 16)), replace=False):
+            copy[k] = f"yy{i}"
+        rows.append((len(rows), " ".join(copy), None, None, None))
     rows += [(1000 + i, t, None, None, None) for i, t in enumerate(ODD)] + [(None, "one", None, None, None)]
 
     def held(t):
@@ -606,7 +613,7 @@ def test_resemblance(spark):
     for i, j in itertools.combinations(range(len(rows)), 2):
         if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
             root[max(top(i), top(j))] = min(top(i), top(j))
-    found = resemblance.near_duplicates(docs(spark, rows)).collect()
+    found = resemblance.near_duplicates(docs(spark, rows), most=most).collect()
     assert sorted((str(r.doc_id), r.component_id) for r in found) == sorted((str(r[0]), rows[top(i)][0]) for i, r in enumerate(rows))
     kept = simhash.one_of_each(docs(spark, rows), found=resemblance.near_duplicates(docs(spark, rows)))
     assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[top(i)][0] for i in range(len(rows))})

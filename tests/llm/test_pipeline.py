@@ -32,4 +32,7 @@ def test_stages(spark, tmp_path):
     assert seen["mix"].doc_id.value_counts().to_dict() == {i: n for i, n in copies.items() if n}
     m = pieces.Model(open(pieces.MODEL, "rb").read())
     assert len(seen["tokens"]) == len(seen["mix"]) and all(pieces.decode(m, np.asarray(r.ids)) == masked.text[r.doc_id] for r in seen["tokens"].itertuples())
+    drawn = seen["tokens"].groupby("doc_id")
+    assert seen["tokens"].round_trip.all() and all(sorted(g.draw) == [*range(1, len(g) + 1)] and len({tuple(x) for x in g.ids}) == len(g) for _, g in drawn)
+    assert max(len(g) for _, g in drawn) > 1
     assert corpus_pipeline.run(spark, str(tmp_path / "x")).count() == len(seen["mix"])
