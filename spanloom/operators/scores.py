@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 SKIP_SCORE = 10.0
 BACKGROUND, SCORE_WINDOW, HALF_MEAN = 61, 31, 15
+STRETCH, BITS = 3000, 15  # positions of a running sum; bits that one base's count takes
 
 
 def ln(x: Column) -> Column:
@@ -15,17 +16,29 @@ def ln(x: Column) -> Column:
     return F.when(x <= 0, F.lit(float("-inf"))).otherwise(F.log(x))
 
 
-def background(frame: DataFrame, keys: list[str], pos: str, code: str, width: int = BACKGROUND) -> DataFrame:
+def background(frame: DataFrame, keys: list[str], pos: str, code: str, width: int = BACKGROUND, stretch: int = STRETCH) -> DataFrame:
     """keys, pos and the shares bg_a, bg_c, bg_g, bg_t of a centred window; codes of 4 and over, and what the window has beyond
-    the ends, count a quarter to each base."""
-    half = (width - 1) // 2
-    w = W.partitionBy(*keys).orderBy(pos).rowsBetween(-half, half)
-    outside = F.lit(float(width)) - F.count("*").over(w)
-    shares = [
-        ((F.sum(F.when(F.col(code) == i, 1.0).when(F.col(code) >= 4, 0.25).otherwise(0.0)).over(w) + 0.25 * outside) / width).alias(f"bg_{b}")
-        for i, b in enumerate("acgt")
-    ]
-    return frame.select(*keys, pos, *shares)
+    the ends, count a quarter to each base. Positions follow each other without holes, one row for each.
+
+    Counts are differences of running sums, in quarters, of which the four bases' stand side by side in one number. Sums run over stretches of positions with half a window more
+    at both ends, so that no task sorts a whole sequence."""
+    half, one = (width - 1) // 2, 1 << BITS
+    if 4 * (stretch + 2 * half) >= one:
+        raise ValueError("a stretch's counts do not fit")
+    own = F.floor(F.col(pos) / stretch)
+    quarters = F.lit(sum(one**i for i in range(4)))
+    for i in range(4):
+        quarters = F.when(F.col(code) == i, F.lit(4 * one**i)).otherwise(quarters)
+    spread = F.sequence(F.floor((F.col(pos) - half) / stretch), F.floor((F.col(pos) + half) / stretch))
+    f = frame.select(*keys, pos, quarters.alias("__q"), F.explode(spread).alias("__stretch"))
+    order = W.partitionBy(*keys, "__stretch").orderBy(pos)
+    f = f.withColumn("__sum", F.sum("__q").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    total = F.max("__sum").over(W.partitionBy(*keys, "__stretch"))
+    inside = F.coalesce(F.lead("__sum", half).over(order), total) - F.coalesce(F.lag("__sum", half + 1).over(order), F.lit(0))
+    f = f.withColumn("__in", inside).where(F.col("__stretch") == own)
+    counts = [F.shiftright("__in", i * BITS).bitwiseAND(F.lit(one - 1)) for i in range(4)]
+    missing = F.lit(4 * width) - (counts[0] + counts[1] + counts[2] + counts[3])
+    return f.select(*keys, pos, *(((4 * c + missing) / F.lit(16.0 * width)).alias(f"bg_{b}") for b, c in zip("acgt", counts)))
 
 
 def windowed_scores(frame: DataFrame, keys: list[str], pos: str, s: str, g: str, half: int = HALF_MEAN) -> DataFrame:
@@ -80,8 +93,14 @@ def softmax(cells: DataFrame, keys: list[str], score: str = "score", skip: float
 
 
 def centred_mean(cells: DataFrame, keys: list[str], pos: str, value: str = "conf", half: int = HALF_MEAN) -> DataFrame:
-    """``cells`` with ``smooth``: mean over the row's own columns at most ``half`` away."""
-    return cells.withColumn("smooth", F.avg(value).over(W.partitionBy(*keys).orderBy(pos).rowsBetween(-half, half)))
+    """``cells`` with ``smooth``: mean over the row's own columns at most ``half`` away, from running sums."""
+    order, whole = W.partitionBy(*keys).orderBy(pos), W.partitionBy(*keys)
+    f = cells.withColumn("__sum", F.sum(value).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("__i", F.row_number().over(order))
+    last = F.max(F.struct("__i", "__sum")).over(whole)
+    f = f.withColumn("__last", last)
+    total = F.coalesce(F.lead("__sum", half).over(order), F.col("__last.__sum")) - F.coalesce(F.lag("__sum", half + 1).over(order), F.lit(0.0))
+    n = F.least(F.col("__i") + half, F.col("__last.__i")) - F.greatest(F.col("__i") - half - 1, F.lit(0))
+    return f.withColumn("smooth", total / n).drop("__sum", "__i", "__last")
 
 
 def by_alignment(cells: DataFrame, keys: list[str], value: str = "conf") -> DataFrame:
