@@ -11,7 +11,7 @@ A source with a third of all rows so spreads over its sizes, and one size over `
 
 Defined results: a null text has size 0; sources are ordered by code point with null last (null is a source
 of its own); a repeated row is a document of its own; a source without words has target 0 and takes 0;
-an empty table gives an empty result.
+columns other than id, text and source have no part in ``mix``, and ``repeat_rows`` keeps them whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import fresh, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 256  # two hex digits
@@ -99,14 +99,15 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text:
     """``docs`` as the mix takes them: each row as often as it has copies. Rows are matched by id, source and size;
     where several rows agree in all three, their copies are shared out among them in one run, which keeps the sum."""
     key = [F.col("doc_id"), F.col("source"), F.col("size")]
-    total = mixed.groupBy(*key).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
-    left = docs.withColumn("__size", word_count(F.col(text)))
-    on = F.col(f"__l.{doc_id}").eqNullSafe(F.col("__r.doc_id")) & F.col(f"__l.{source}").eqNullSafe(F.col("__r.source")) & (F.col("__l.__size") == F.col("__r.size"))
-    joined = left.alias("__l").join(total.alias("__r"), on).select("__l.*", "__copies", "__rows")
-    one = joined.where("__rows = 1").withColumn("__n", F.col("__copies"))
-    place = F.row_number().over(W.partitionBy(doc_id, source, "__size").orderBy(F.xxhash64(text)))
-    many = joined.where("__rows > 1").withColumn("__k", place).withColumn(
-        "__n", F.floor(F.col("__k") * F.col("__copies") / F.col("__rows")) - F.floor((F.col("__k") - 1) * F.col("__copies") / F.col("__rows"))
-    ).drop("__k")
-    both = one.unionByName(many).where("__n > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+    copies, rows, size, times, nth, copy = fresh(docs.columns, "copies__", "rows__", "size__", "times__", "nth__", "copy__")
+    total = mixed.groupBy(*key).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    left = docs.withColumn(size, word_count(F.col(text)))
+    on = F.col(f"l__.{doc_id}").eqNullSafe(F.col("r__.doc_id")) & F.col(f"l__.{source}").eqNullSafe(F.col("r__.source")) & (F.col(f"l__.{size}") == F.col("r__.size"))
+    joined = left.alias("l__").join(total.alias("r__"), on).select("l__.*", copies, rows)
+    one = joined.where(F.col(rows) == 1).withColumn(times, F.col(copies))
+    place = F.row_number().over(W.partitionBy(doc_id, source, size).orderBy(F.xxhash64(text)))
+    many = joined.where(F.col(rows) > 1).withColumn(nth, place).withColumn(
+        times, F.floor(F.col(nth) * F.col(copies) / F.col(rows)) - F.floor((F.col(nth) - 1) * F.col(copies) / F.col(rows))
+    ).drop(nth)
+    both = one.unionByName(many).where(F.col(times) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)

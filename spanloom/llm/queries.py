@@ -36,7 +36,9 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents")).drop("n_url", "n_account")
+    """``n_private`` counts all spans but addresses of pages."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_private", sum((F.col(f"n_{k}") for k in (*pii.BASE, "account")), F.lit(0))).drop("n_url", "n_account")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

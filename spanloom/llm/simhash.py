@@ -14,7 +14,8 @@ spanning forest of its own graph, never all pairs. Components follow from min-la
 
 Defined results: a null text is empty; a text without words has fingerprint zero and is linked like any other;
 fewer words than a shingle make one shingle; repeated rows are kept, each with its component; a null id takes
-part, and a component of null ids alone has a null id; an empty table gives an empty result.
+part, and a component of null ids alone has a null id; columns other than id and text have no part, and ``one_of_each`` keeps them whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, lean, store
+from .common import drop_stored, fresh, lean, store
 
 BITS = 64
 CHUNK = 32_768  # shingles hashed at a time, whatever the length of a text
@@ -188,11 +189,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     """The rows of ``docs`` that stay: of each component the one with the smallest id, then text hash; of rows that agree in both, one.
     ``found``: components by another measure, as ``near_duplicates`` gives them."""
     found = near_duplicates(docs, doc_id, text, **how) if found is None else found
+    own, own_key, rows = fresh(docs.columns, "id__", "key__", "rows__")
     root = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
     by_row = found.groupBy(root.alias("root"), "doc_id", "key").agg(F.count("*").alias("rows"))
     first = by_row.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "rows")).alias("kept")).select("kept.*").select(
-        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("rows").alias("__rows")
+        F.col("doc_id").alias(own), F.col("key").alias(own_key), F.col("rows").alias(rows)
     )
-    kept = docs.join(first, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")))
-    repeated = kept.where("__rows > 1").dropDuplicates(["__id", "__key"])
-    return kept.where("__rows = 1").unionByName(repeated).drop("__id", "__key", "__rows")
+    kept = docs.join(first, F.col(doc_id).eqNullSafe(F.col(own)) & F.xxhash64(text).eqNullSafe(F.col(own_key)))
+    repeated = kept.where(F.col(rows) > 1).dropDuplicates([own, own_key])
+    return kept.where(F.col(rows) == 1).unionByName(repeated).drop(own, own_key, rows)

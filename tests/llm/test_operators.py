@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, queries, resemblance, simhash, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ", size long, key long, fp string, node string"
+EXTRA = ", size long, key__ long, fp string, copies__ string"
 ODD = [None, "", " \t\n", "one", "one two three", "word " * 40_000, "MIT License, é", "MIT License, é", "▁ a b", "x@y.z +1 (555) 123-4567", "a\ufdd0b \u2581\ufdd0 \U0001f600"]
 
 
