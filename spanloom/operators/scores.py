@@ -16,6 +16,16 @@ def ln(x: Column) -> Column:
     return F.when(x <= 0, F.lit(float("-inf"))).otherwise(F.log(x))
 
 
+def core_ratio(scaled: Column, frequency: Column | float) -> Column:
+    """What a base's score says of its share: exp(scaled score) times the target letter's frequency."""
+    return F.exp(scaled) * frequency
+
+
+def against(core: Column, share: Column | float) -> Column:
+    """The score of a core ratio against a background share."""
+    return ln(core / share)
+
+
 def background(frame: DataFrame, keys: list[str], pos: str, code: str, width: int = BACKGROUND, stretch: int = STRETCH) -> DataFrame:
     """keys, pos and the shares bg_a, bg_c, bg_g, bg_t of a centred window; codes of 4 and over, and what the window has beyond
     the ends, count a quarter to each base. Positions follow each other without holes, one row for each.

@@ -32,3 +32,24 @@ def carry_forward(frame: DataFrame, keys: list[str], pos: str, value: str) -> Da
     """``frame`` with ``carried``: the last value that is not null, 0 before any."""
     upto = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
     return frame.withColumn("carried", F.coalesce(F.last(value, ignorenulls=True).over(upto), F.lit(0)))
+
+
+def active(cells: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """keys, col, n_cells: the columns that any cell covers."""
+    return cells.groupBy(*keys, col).agg(F.count("*").alias("n_cells"))
+
+
+def means(cells: DataFrame, keys: list[str], col: str, value: str) -> DataFrame:
+    """keys, col_start, col_end, confidence: the mean over a segment's columns, of which it has a cell each."""
+    length = F.max(col) - F.min(col) + 1
+    return cells.groupBy(*keys).agg(F.min(col).alias("col_start"), F.max(col).alias("col_end"), (F.sum(value) / length).alias("confidence"))
+
+
+def extents(alignments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys (with strand), target_start, target_end, query_start, query_end, members: on the reverse strand query coordinates fall."""
+    reverse = F.col("strand") == "-"
+    return alignments.groupBy(*keys).agg(
+        F.min("target_start").alias("target_start"), F.max("target_end").alias("target_end"),
+        F.when(reverse, F.max("query_start")).otherwise(F.min("query_start")).alias("query_start"),
+        F.when(reverse, F.min("query_end")).otherwise(F.max("query_end")).alias("query_end"), F.count("*").alias("members"),
+    )

@@ -7,7 +7,6 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -38,7 +37,7 @@ def query(text: str | None = None) -> Callable:
 
 
 ISLANDS = sql("aln") + f""", reach AS (
-  SELECT a.target_id, a.target_start AS s, greatest(a.target_end, coalesce(max(b.target_end), 0)) AS e FROM aln a
+  SELECT a.target_id, a.ord, a.target_start AS s, greatest(a.target_end, coalesce(max(b.target_end), 0)) AS e FROM aln a
   LEFT JOIN aln b ON a.target_id = b.target_id AND a.query_id = b.query_id AND a.strand = b.strand AND b.ord > a.ord AND b.target_start - a.target_end <= {DISTANCE}
   GROUP BY a.target_id, a.ord, a.target_start, a.target_end
 ), marked AS (
@@ -60,7 +59,7 @@ def region_number(spark: SparkSession, d: str) -> DataFrame:
     return regions.numbered(regions.regions(aln(spark, d), DISTANCE, bin_width=400)).drop("n")
 
 
-@query(ISLANDS + " SELECT a.target_id, ord, region FROM aln a JOIN found f ON a.target_id = f.target_id AND a.target_start BETWEEN region_start AND region_end")
+@query(ISLANDS + " SELECT target_id, ord, CAST(region AS BIGINT) AS region FROM numbered")
 def assign_region(spark: SparkSession, d: str) -> DataFrame:
     a = aln(spark, d)
     return regions.assign(a, regions.regions(a, DISTANCE, bin_width=400), bin_width=400).select("target_id", "ord", "region")
@@ -173,7 +172,7 @@ def inactive_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("cells") + " SELECT target_id, col, count(*) AS n_cells FROM cells GROUP BY target_id, col")
 def active_columns(spark: SparkSession, d: str) -> DataFrame:
-    return views.cells(aln(spark, d)).groupBy("target_id", "col").agg(F.count("*").alias("n_cells"))
+    return segments.active(views.cells(aln(spark, d)), ["target_id"], "col")
 
 
 @query(sql("positions") + f""", gaps AS (SELECT *, s < 0 AS gap FROM positions),
@@ -202,9 +201,9 @@ def ghost_carry_forward(spark: SparkSession, d: str) -> DataFrame:
 PIECES = sql("raw_aln") + """, joined AS (SELECT DISTINCT target_id, query_id, target_start // 200 AS part, target_start, target_end FROM raw_aln WHERE strand = '+'),
 marked AS (SELECT *, max(target_end) OVER (PARTITION BY target_id, query_id, part ORDER BY target_start, target_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM joined),
 runs AS (SELECT *, sum(CASE WHEN before IS NULL OR target_start > before THEN 1 ELSE 0 END) OVER (PARTITION BY target_id, query_id, part ORDER BY target_start, target_end ROWS UNBOUNDED PRECEDING) AS run FROM marked),
-frags AS (SELECT target_id, part, query_id, min(target_start) AS s, max(target_end) AS e FROM runs GROUP BY target_id, part, query_id, run),
-gaps AS (SELECT target_id, part, query_id, e AS s, nxt AS e FROM (SELECT *, lead(s) OVER (PARTITION BY target_id, part, query_id ORDER BY s) AS nxt FROM frags) WHERE nxt IS NOT NULL),
-asm AS (SELECT target_id, part, query_id, min(s) AS first, max(e) AS last, count(*) AS n FROM frags GROUP BY target_id, part, query_id)"""
+frags AS MATERIALIZED (SELECT target_id, part, query_id, min(target_start) AS s, max(target_end) AS e FROM runs GROUP BY target_id, part, query_id, run),
+gaps AS MATERIALIZED (SELECT target_id, part, query_id, e AS s, nxt AS e FROM (SELECT *, lead(s) OVER (PARTITION BY target_id, part, query_id ORDER BY s) AS nxt FROM frags) WHERE nxt IS NOT NULL),
+asm AS MATERIALIZED (SELECT target_id, part, query_id, min(s) AS first, max(e) AS last, count(*) AS n FROM frags GROUP BY target_id, part, query_id)"""
 
 
 def _assemblies(spark: SparkSession, d: str) -> DataFrame:
@@ -219,12 +218,12 @@ def gap_containment(spark: SparkSession, d: str) -> DataFrame:
     return _assemblies(spark, d).select("target_id", "part", "query_id", "first", "last", F.size("frags").alias("n_frags"), F.aggregate("gaps", F.lit(0).cast("long"), lambda x, g: x + g["e"] - g["s"]).alias("gap_length"))
 
 
-@query(PIECES + f""", pairs AS (
+@query(PIECES + f""", pairs AS MATERIALIZED (
   SELECT a.target_id, a.part, a.query_id AS a, b.query_id AS b, a.first AS af, a.last AS al, b.first AS bf, b.last AS bl FROM asm a
   JOIN asm b ON a.target_id = b.target_id AND a.part = b.part AND a.query_id < b.query_id AND a.first <= b.last + {2 * FUDGE} AND b.first <= a.last + {2 * FUDGE}
-), r1 AS (SELECT DISTINCT p.target_id, p.part, a, b FROM pairs p JOIN gaps g ON p.target_id = g.target_id AND p.part = g.part AND g.query_id = p.a WHERE bf >= g.s - {FUDGE} AND bl <= g.e + {FUDGE}),
-r2 AS (SELECT DISTINCT p.target_id, p.part, a, b FROM pairs p JOIN gaps g ON p.target_id = g.target_id AND p.part = g.part AND g.query_id = p.b WHERE af + {FUDGE} >= g.s - {FUDGE} AND al - {FUDGE} <= g.e + {FUDGE}),
-cross_ AS (SELECT DISTINCT g.target_id, g.part, g.query_id AS gq, f.query_id AS fq FROM gaps g JOIN frags f ON g.target_id = f.target_id AND g.part = f.part WHERE f.s < g.e - {FUDGE} AND f.e > g.s + {FUDGE})
+), r1 AS MATERIALIZED (SELECT DISTINCT p.target_id, p.part, a, b FROM pairs p JOIN gaps g ON p.target_id = g.target_id AND p.part = g.part AND g.query_id = p.a WHERE bf >= g.s - {FUDGE} AND bl <= g.e + {FUDGE}),
+r2 AS MATERIALIZED (SELECT DISTINCT p.target_id, p.part, a, b FROM pairs p JOIN gaps g ON p.target_id = g.target_id AND p.part = g.part AND g.query_id = p.b WHERE af + {FUDGE} >= g.s - {FUDGE} AND al - {FUDGE} <= g.e + {FUDGE}),
+cross_ AS MATERIALIZED (SELECT DISTINCT g.target_id, g.part, g.query_id AS gq, f.query_id AS fq FROM gaps g JOIN frags f ON g.target_id = f.target_id AND g.part = f.part WHERE f.s < g.e - {FUDGE} AND f.e > g.s + {FUDGE})
 SELECT p.target_id, p.part, p.a, p.b, CASE WHEN r1.a IS NOT NULL THEN 'b in a' WHEN r2.a IS NOT NULL THEN 'a in b' WHEN x.gq IS NOT NULL OR y.gq IS NOT NULL THEN 'conflict' ELSE 'none' END AS verdict
 FROM pairs p LEFT JOIN r1 USING (target_id, part, a, b) LEFT JOIN r2 USING (target_id, part, a, b)
 LEFT JOIN cross_ x ON p.target_id = x.target_id AND p.part = x.part AND x.gq = p.a AND x.fq = p.b LEFT JOIN cross_ y ON p.target_id = y.target_id AND p.part = y.part AND y.gq = p.b AND y.fq = p.a""")
@@ -242,18 +241,9 @@ def segment_overlap(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("a.target_id", "a.ord").agg(F.count("*").alias("n"), F.min("b.target_start").alias("first"), F.max("b.target_end").alias("last"))
 
 
-@query(sql("bed") + """ SELECT a.chrom, a.o_orderkey, count(*) AS n, min(b.o_orderkey) AS first_key FROM bed a JOIN bed b ON a.chrom = b.chrom AND b.o_orderkey % 10 = 0 AND a.chrom_start < b.chrom_end AND a.chrom_end > b.chrom_start
+@query(sql("bed") + """ SELECT a.chrom, a.o_orderkey, count(*) AS n, min(b.o_orderkey) AS first_key FROM bed a JOIN bed b ON a.chrom = b.chrom AND a.chrom_start < b.chrom_end AND a.chrom_end > b.chrom_start
 GROUP BY a.chrom, a.o_orderkey""")
 def bed_overlap(spark: SparkSession, d: str) -> DataFrame:
-    b = views.bed(spark, d)
-    ends = ("chrom_start", "chrom_end")
-    pairs = joins.overlaps(b, b.where("o_orderkey % 10 = 0"), ["chrom"], ends, ends, 64)
-    return pairs.groupBy("a.chrom", "a.o_orderkey").agg(F.count("*").alias("n"), F.min("b.o_orderkey").alias("first_key"))
-
-
-@query()
-def bed_overlap_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ``bed_overlap``, with all records as partners. It has no SQL; a test holds it to brute force."""
     b = views.bed(spark, d)
     ends = ("chrom_start", "chrom_end")
     pairs = joins.overlaps(b, b, ["chrom"], ends, ends, 64)
@@ -263,33 +253,28 @@ def bed_overlap_all(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("aln") + """ SELECT target_id, query_id, strand, min(target_start) AS target_start, max(target_end) AS target_end,
 CASE WHEN strand = '-' THEN max(query_start) ELSE min(query_start) END AS query_start, CASE WHEN strand = '-' THEN min(query_end) ELSE max(query_end) END AS query_end, count(*) AS members FROM aln GROUP BY target_id, query_id, strand""")
 def strand_extents(spark: SparkSession, d: str) -> DataFrame:
-    reverse = F.col("strand") == "-"
-    return aln(spark, d).groupBy("target_id", "query_id", "strand").agg(
-        F.min("target_start").alias("target_start"), F.max("target_end").alias("target_end"),
-        F.when(reverse, F.max("query_start")).otherwise(F.min("query_start")).alias("query_start"),
-        F.when(reverse, F.min("query_end")).otherwise(F.max("query_end")).alias("query_end"), F.count("*").alias("members"),
-    )
+    return segments.extents(aln(spark, d), ["target_id", "query_id", "strand"])
 
 
 @query("""SELECT o_custkey AS query_id, CAST(max_by(o_totalprice, o_orderkey) AS DOUBLE) AS query_length, max(o_orderkey) AS line FROM orders GROUP BY o_custkey""")
 def query_length_last(spark: SparkSession, d: str) -> DataFrame:
     """The last record of a query in file order decides."""
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("query_id")).agg(F.max_by("o_totalprice", "o_orderkey").alias("query_length"), F.max("o_orderkey").alias("line"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("query_name"), F.col("o_totalprice").alias("query_length"), F.col("o_orderkey").alias("ali_id"))
+    return readers.query_lengths(o).withColumnRenamed("query_name", "query_id")
 
 
 @query("""WITH dict AS (SELECT event_type, min(event_id) AS first_seen, row_number() OVER (ORDER BY min(event_id)) - 1 AS id FROM events GROUP BY event_type)
 SELECT event_id, id FROM events JOIN dict USING (event_type)""")
 def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    names = e.groupBy("event_type").agg(F.min("event_id").alias("first_seen")).select("event_type", (F.row_number().over(W.orderBy("first_seen")) - 1).cast("long").alias("id"))
-    return e.join(names, "event_type").select("event_id", "id")
+    return e.join(readers.dictionary(e, "event_type", "event_id", 0), "event_type").select("event_id", "id")
 
 
 @query("""SELECT p_partkey, (CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.5 END) * p_retailprice / 100 AS scaled, round(exp(p_size / 50.0) * 0.205, 9) AS core, round(ln(exp(p_size / 50.0) * 0.205 / 0.25), 9) AS log_odds FROM part""")
 def matrix_scaling(spark: SparkSession, d: str) -> DataFrame:
     lam = F.when(F.col("p_size") % 2 == 0, 1.0).otherwise(0.5)
-    core = F.exp(F.col("p_size") / 50.0) * 0.205
-    return table(spark, d, "part").select("p_partkey", (lam * F.col("p_retailprice") / 100).alias("scaled"), F.round(core, 9).alias("core"), F.round(scores.ln(core / 0.25), 9).alias("log_odds"))
+    core = scores.core_ratio(F.col("p_size") / 50.0, 0.205)
+    return table(spark, d, "part").select("p_partkey", (lam * F.col("p_retailprice") / 100).alias("scaled"), F.round(core, 9).alias("core"), F.round(scores.against(core, 0.25), 9).alias("log_odds"))
 
 
 @query(f"SELECT p_partkey, {OPEN}::DOUBLE + greatest(p_size - 1, 0) * {EXTEND}::DOUBLE AS gap_cost FROM part")
@@ -298,40 +283,46 @@ def gap_cost(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql("bed") + """, seen AS (SELECT *, lag(chrom_start) OVER (PARTITION BY chrom ORDER BY o_orderkey) AS before FROM bed)
-SELECT chrom, count(*) AS records, CAST(sum(CASE WHEN chrom_start < before THEN 1 ELSE 0 END) AS BIGINT) AS unsorted, min(o_orderkey) AS first_line FROM seen GROUP BY chrom""")
+SELECT chrom, count(*) AS records, CAST(sum(CASE WHEN chrom_start < before THEN 1 ELSE 0 END) AS BIGINT) AS unsorted, min(o_orderkey) AS first_line,
+sum(CASE WHEN chrom_start < before THEN 1 ELSE 0 END) = 0 AS sorted, max(o_orderkey) - min(o_orderkey) + 1 = count(*) AS contiguous FROM seen GROUP BY chrom""")
 def sortedness_check(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("chrom_start").over(W.partitionBy("chrom").orderBy("o_orderkey"))
-    seen = views.bed(spark, d).withColumn("before", before)
-    return seen.groupBy("chrom").agg(F.count("*").alias("records"), F.sum(F.when(F.col("chrom_start") < F.col("before"), 1).otherwise(0)).cast("long").alias("unsorted"), F.min("o_orderkey").alias("first_line"))
+    return readers.bed_order(views.bed(spark, d).withColumnRenamed("o_orderkey", "line"))
 
 
 @query(sql("confident") + " SELECT target_id, ord, query_id, min(col) AS col_start, max(col) AS col_end, round(sum(conf) / (max(col) - min(col) + 1), 9) AS confidence FROM confident GROUP BY target_id, ord, query_id")
 def segment_mean_confidence(spark: SparkSession, d: str) -> DataFrame:
     c = scores.softmax(views.scored(spark, d), ["target_id", "col"])
-    return c.groupBy("target_id", "ord", "query_id").agg(F.min("col").alias("col_start"), F.max("col").alias("col_end"), F.round(F.sum("conf") / (F.max("col") - F.min("col") + 1), 9).alias("confidence"))
+    return segments.means(c, ["target_id", "ord", "query_id"], "col", "conf").withColumn("confidence", F.round("confidence", 9))
 
 
 @query("""SELECT c_custkey, 'hit' AS kind FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')
 UNION ALL SELECT c_custkey, 'never' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
 def semi_anti_membership(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders")
-    on = F.col("o_custkey") == F.col("c_custkey")
-    hit = c.join(o.where("o_orderstatus = 'F'"), on, "left_semi").select("c_custkey", F.lit("hit").alias("kind"))
-    return hit.unionByName(c.join(o, on, "left_anti").select("c_custkey", F.lit("never").alias("kind")))
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return joins.membership(table(spark, d, "customer").select("c_custkey"), o.where("o_orderstatus = 'F'"), o, ["c_custkey"])
 
 
-@query(sql("aln") + """ SELECT target_id, target_start AS s, target_end AS e, 'alignment' AS kind FROM aln UNION ALL SELECT user_id % 100 + 1, CAST(date_diff('day', DATE '1992-01-01', CAST(ts AS DATE)) AS BIGINT), CAST(date_diff('day', DATE '1992-01-01', CAST(ts AS DATE)) AS BIGINT) + 3, 'repeat' FROM events""")
+@query(sql("aln", "rep") + " SELECT target_id, target_start AS s, target_end AS e, 'alignment' AS kind FROM aln UNION ALL SELECT target_id, target_start, target_end, 'repeat' FROM rep")
 def union_rows(spark: SparkSession, d: str) -> DataFrame:
-    a = aln(spark, d).select("target_id", F.col("target_start").alias("s"), F.col("target_end").alias("e"), F.lit("alignment").alias("kind"))
-    r = table(spark, d, "events").select((F.col("user_id") % 100 + 1).alias("target_id"), views.days("ts").alias("s"), (views.days("ts") + 3).alias("e"), F.lit("repeat").alias("kind"))
-    return a.unionByName(r)
+    part = lambda t, kind: t.select("target_id", F.col("target_start").alias("s"), F.col("target_end").alias("e"), F.lit(kind).alias("kind"))
+    return part(aln(spark, d), "alignment").unionByName(part(views.repeats(spark, d), "repeat"))
 
 
-@query("""WITH best AS (SELECT user_id, event_type, max(value) AS conf FROM events GROUP BY user_id, event_type)
-SELECT user_id, event_type, conf FROM best WHERE CASE WHEN user_id = 0 THEN TRUE WHEN regexp_matches(lower(event_type), 'cl|ur') THEN TRUE ELSE conf > 50 END""")
+@query("""WITH best AS (SELECT user_id % 3 AS row, event_type AS query_name, user_id, max(value) AS max_conf, max(value) > 90 AS in_trace FROM events GROUP BY user_id, event_type)
+SELECT user_id, query_name, max_conf, 'name' AS by FROM best WHERE row = 0 OR regexp_matches(lower(query_name), 'cl|ur')
+UNION ALL SELECT user_id, query_name, max_conf, 'confidence' FROM best WHERE row = 0 OR max_conf > 50
+UNION ALL SELECT user_id, query_name, max_conf, 'trace' FROM best WHERE row = 0 OR (in_trace AND max_conf > 0)""")
 def viewer_filter(spark: SparkSession, d: str) -> DataFrame:
-    best = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("conf"))
-    return best.where(F.when(F.col("user_id") == 0, True).when(F.lower("event_type").rlike("cl|ur"), True).otherwise(F.col("conf") > 50))
+    """A pattern decides alone, a least confidence alone, and rows of the trace alone."""
+    best = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("query_name")).agg(F.max("value").alias("max_conf"))
+    rows = best.select("user_id", "query_name", "max_conf", (F.col("user_id") % 3).alias("row"), (F.col("max_conf") > 90).alias("in_trace"))
+    part = lambda how, **by: view.filtered(rows, **by).select("user_id", "query_name", "max_conf", F.lit(how).alias("by"))
+    return part("name", pattern="cl|ur", least=50.0).unionByName(part("confidence", least=50.0)).unionByName(part("trace", only=True))
+
+
+@query(sql("aln") + " SELECT target_id, ord, target_start, target_end FROM aln WHERE target_start < 2000 AND target_end > 1000")
+def domain_filter(spark: SparkSession, d: str) -> DataFrame:
+    return view.in_domain(aln(spark, d), 1000, 2000, "target_start", "target_end").select("target_id", "ord", "target_start", "target_end")
 
 
 @query(sql("aln") + """, w AS (SELECT *, max(length(CAST(target_start AS VARCHAR))) OVER (PARTITION BY target_id) AS a, max(length(CAST(target_end AS VARCHAR))) OVER (PARTITION BY target_id) AS b, max(length(CAST(query_id AS VARCHAR))) OVER (PARTITION BY target_id) AS c FROM aln)
@@ -404,8 +395,11 @@ def adjudicate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, d: str, schema: str, work: Callable) -> DataFrame:
-    """``work`` over the rows of each (target, query, strand)."""
+    """``work`` over the rows of each run of a (target, query, strand), beyond which no edge goes."""
+    keys, span = ["target_id", "query_id", "strand"], ("target_start", "target_end")
     a = aln(spark, d)
+    runs = regions.merged(a.select(*keys, *span), keys, *span, DISTANCE * 10, bin_width=400).select(*keys, F.col("target_start").alias("run_start"), F.col("target_end").alias("run_end"))
+    rows = regions.assign(a, runs, bin_width=400, keys=tuple(keys), span=("run_start", "run_end"))
 
     def run(pdf):  # noqa: ANN001, ANN202
         rows = []
@@ -414,7 +408,7 @@ def _grouped(spark: SparkSession, d: str, schema: str, work: Callable) -> DataFr
             rows.append(kernel.Row(("ali", x.ord), x.query_id, x.strand, x.target_start, x.target_end, x.query_start, x.query_end, conf=((np.arange(n) * 3 + x.ord) % 10 + 1) / 11.0))
         return pd.DataFrame(work(rows, pdf.target_id.iloc[0]), columns=[f.split(" ")[0] for f in schema.split(", ")])
 
-    return a.groupBy("target_id", "query_id", "strand").applyInPandas(run, schema)
+    return rows.groupBy(*keys, "run_start").applyInPandas(run, schema)
 
 
 @query()
@@ -452,25 +446,82 @@ def split_trace(spark: SparkSession, d: str) -> DataFrame:
     return _rounds(spark, d).select("region_id", "round", F.size("r.segments").alias("n_segments"), *(F.array_join(F.transform(f"r.{k}", lambda x: x.cast("string")), ",").alias(k) for k in ("resolved", "unresolved", "competed")))
 
 
-@query()
+NOTED = sql("noted") + """, lengths AS (SELECT query_name, max(query_end) + 5 AS query_length FROM noted GROUP BY query_name),
+sorted AS (SELECT *, row_number() OVER w - 1 AS k, lead(target_start) OVER w AS next_start, lead(query_start) OVER w AS next_query, count(*) OVER (PARTITION BY region_id, join_id) AS n
+  FROM noted WINDOW w AS (PARTITION BY region_id, join_id ORDER BY target_start, target_end, query_start, query_end))"""
+
+
+@query(NOTED + """, made AS (
+  SELECT region_id, join_id, 2 * k AS i, concat_ws(',', 2 * k, target_start, target_end) AS t FROM sorted
+  UNION ALL SELECT region_id, join_id, 2 * k + 1, concat_ws(',', 2 * k + 1, target_end, next_start, next_query - query_end + 1) FROM sorted WHERE k < n - 1
+  UNION ALL SELECT region_id, join_id, 2 * n - 1, concat_ws(',', 2 * n - 1, greatest(target_start - query_start, 0), target_start) FROM sorted WHERE k = 0
+  UNION ALL SELECT region_id, join_id, 2 * n, concat_ws(',', 2 * n, target_end, target_end) FROM sorted WHERE k = n - 1
+), listed AS (SELECT region_id, join_id, string_agg(t, ';' ORDER BY i) AS blocks FROM made GROUP BY region_id, join_id)
+SELECT f.region_id, f.join_id, f.query_name, f.strand, greatest(f.target_start - f.query_start, 0) AS visual_start, l.target_end + query_length - l.query_end AS visual_end, blocks
+FROM sorted f JOIN sorted l ON f.region_id = l.region_id AND f.join_id = l.join_id AND f.k = 0 AND l.k = l.n - 1 JOIN listed b ON f.region_id = b.region_id AND f.join_id = b.join_id JOIN lengths g ON f.query_name = g.query_name""")
 def block_group_annotations(spark: SparkSession, d: str) -> DataFrame:
-    a = alignments(spark, d)
-    return blocks.from_annotations(annotations(a, {"m": MATRIX}, settings=SETTINGS), readers.query_lengths(a)).select("region_id", "join_id", "query_name", "strand", "visual_start", "visual_end", F.array_join("blocks", ";").alias("blocks"))
+    a = views.noted(spark, d)
+    lengths = a.groupBy("query_name").agg((F.max("query_end") + 5).alias("query_length"))
+    return blocks.from_annotations(a, lengths).select("region_id", "join_id", "query_name", "strand", "visual_start", "visual_end", F.array_join("blocks", ";").alias("blocks"))
 
 
-@query()
+@query(sql("noted") + """ SELECT target_name AS chrom, min(target_start) - 1 AS chrom_start, max(target_end) AS chrom_end, query_name AS name, CAST(round(avg(confidence) * 1000) AS BIGINT) AS score, strand,
+min(target_start) - 1 AS thick_start, max(target_end) AS thick_end, '0' AS reserved, CAST(count(*) AS INTEGER) AS block_count, string_agg(target_end - target_start + 1, ',' ORDER BY target_start, target_end) AS block_sizes,
+string_agg(target_start - first, ',' ORDER BY target_start, target_end) AS block_starts, region_id || ':' || join_id AS id
+FROM (SELECT *, min(target_start) OVER (PARTITION BY region_id, join_id) AS first FROM noted) GROUP BY region_id, join_id, target_name, query_name, strand""")
 def bed_export(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.to_bed(annotations(alignments(spark, d), {"m": MATRIX}, settings=SETTINGS))
+    return blocks.to_bed(views.noted(spark, d))
+
+
+def repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Events as tandem repeats of the targets that have alignments, one for each target and day."""
+    r = views.repeats(spark, d).groupBy("target_id", "target_start", "target_end").agg(F.min("repeat_id").alias("repeat_id"), F.min("period").alias("period"))
+    score = lambda i: F.pmod(F.col("repeat_id") + i, F.lit(5)).cast("double")
+    named = r.select("repeat_id", F.col("target_id").cast("string").alias("target_name"), "target_start", "target_end", F.lit("AT").alias("consensus"), "period", F.array(*(score(i) for i in range(4))).alias("scores"))
+    return named.join(aln(spark, d).select(F.col("target_id").cast("string").alias("target_name")).distinct(), "target_name", "left_semi")
+
+
+def _shown(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Annotations with detail, alignments with their regions, alignments."""
+    a, r = alignments(spark, d), repeats(spark, d)
+    return annotations(a, {"m": MATRIX}, r, settings=SETTINGS, detail=True), located(*with_ids(a, r), SETTINGS)[0], a
 
 
 @query()
 def viewer_payload(spark: SparkSession, d: str) -> DataFrame:
-    a, _ = located(with_ids(alignments(spark, d), None)[0], None, SETTINGS)
-    found = annotations(alignments(spark, d), {"m": MATRIX}, settings=SETTINGS)
-    return view.region_payloads(found, a, readers.query_lengths(a))
+    found, placed, a = _shown(spark, d)
+    bed = views.bed(spark, d).select(F.col("chrom").cast("string").alias("chrom"), "chrom_start", "chrom_end", F.col("chrom_start").alias("thick_start"), F.col("chrom_end").alias("thick_end"), F.col("o_orderkey").cast("string").alias("name"), F.lit("+").alias("strand"))
+    return view.region_payloads(found, placed, readers.query_lengths(a), bed)
+
+
+@query()
+def assembly_payload(spark: SparkSession, d: str) -> DataFrame:
+    found, placed, _ = _shown(spark, d)
+    return view.assembly_payloads(found, placed, DISTANCE)
 
 
 @query()
+def row_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return view.row_confidences(_shown(spark, d)[0])
+
+
+@query(sql("aln") + f""", rows AS (
+  SELECT target_id AS region_id, query_id, strand, target_start, target_end, query_start, query_end, target_id * 10000000 + ord AS ali_id, ord FROM aln
+), pairs AS (
+  SELECT a.region_id, a.query_id, a.strand, a.ali_id AS a, b.ali_id AS b, (a.target_start + a.target_end) // 2 AS am, (b.target_start + b.target_end) // 2 AS bm, abs(b.target_start - a.target_end) AS weight FROM rows a
+  JOIN rows b ON a.region_id = b.region_id AND a.query_id = b.query_id AND a.strand = b.strand AND b.ord > a.ord AND b.target_start - a.target_end < {DISTANCE}
+   AND CASE WHEN a.strand = '+' THEN b.query_start - a.query_end ELSE a.query_end - b.query_start END > -20
+), ways AS (
+  SELECT region_id, query_id, strand, a AS f, b AS t, am AS s, bm AS e, weight FROM pairs UNION ALL SELECT region_id, query_id, strand, b, a, bm, am, weight FROM pairs
+), links AS (
+  SELECT region_id, query_id, strand, string_agg('{{"from":' || f || ',"to":' || t || ',"start":' || s || ',"end":' || e || ',"weight":' || weight || '}}', ',' ORDER BY f, t) AS links FROM ways GROUP BY ALL
+), drawn AS (
+  SELECT region_id, query_id, strand, string_agg('{{"target_start":' || target_start || ',"target_end":' || target_end || ',"query_start":' || query_start || ',"query_end":' || query_end || ',"ali_id":' || ali_id || '}}', ','
+    ORDER BY target_start, target_end, query_start, query_end, ali_id) AS alignments FROM rows GROUP BY ALL
+) SELECT d.region_id, d.query_id, d.strand, '{{"alignments":[' || alignments || ']' || coalesce(',"links":[' || links || ']', '') || '}}' AS payload
+FROM drawn d LEFT JOIN links l ON d.region_id = l.region_id AND d.query_id = l.query_id AND d.strand = l.strand""")
 def edge_payload(spark: SparkSession, d: str) -> DataFrame:
-    a, _ = located(with_ids(alignments(spark, d), None)[0], None, SETTINGS)
-    return view.edge_payloads(a, DISTANCE * 10)
+    """A target plays a region."""
+    a = aln(spark, d)
+    placed = a.select(F.col("target_id").alias("region_id"), "query_id", "strand", "target_start", "target_end", "query_start", "query_end", (F.col("target_id") * 10_000_000 + F.col("ord")).alias("ali_id"))
+    return view.edge_payloads(placed, DISTANCE)

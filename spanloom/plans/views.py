@@ -51,7 +51,15 @@ SQL = {
          CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + 3 + floor(o_totalprice / 50000) AS BIGINT) AS chrom_end FROM orders
 )""",
 }
-NEEDS = {"aln": ("raw_aln",), "cells": ("aln",), "scored": ("cells",), "confident": ("scored",)}
+SQL["rep"] = """rep AS (
+  SELECT event_id AS repeat_id, user_id % 100 + 1 AS target_id, CAST(date_diff('day', DATE '1992-01-01', CAST(ts AS DATE)) AS BIGINT) AS target_start,
+         CAST(date_diff('day', DATE '1992-01-01', CAST(ts AS DATE)) AS BIGINT) + 3 AS target_end, length(event_type) AS period FROM events
+)"""
+SQL["noted"] = """noted AS (
+  SELECT target_id AS region_id, query_id * 2 + CAST(strand = '-' AS BIGINT) AS join_id, CAST(target_id AS VARCHAR) AS target_name, 'q' || CAST(query_id AS VARCHAR) AS query_name,
+         strand, target_start, target_end, query_start, query_end, score / 64.0::DOUBLE AS confidence FROM aln
+)"""
+NEEDS = {"noted": ("aln",), "aln": ("raw_aln",), "cells": ("aln",), "scored": ("cells",), "confident": ("scored",)}
 
 
 def sql(*names: str) -> str:
@@ -132,3 +140,19 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bed(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = days("o_orderdate")
     return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("chrom"), start.alias("chrom_start"), (start + 3 + F.floor(F.col("o_totalprice") / 50000)).cast("long").alias("chrom_end"))
+
+
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeat_id, target_id, target_start, target_end, period: events play tandem repeats of four positions."""
+    start = days("ts")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("repeat_id"), (F.col("user_id") % 100 + 1).alias("target_id"), start.alias("target_start"), (start + 3).alias("target_end"), F.length("event_type").cast("long").alias("period")
+    )
+
+
+def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments play annotations: a target is a region, and what it has of one query and strand is one join."""
+    return aln(spark, sf_dir).select(
+        F.col("target_id").alias("region_id"), (F.col("query_id") * 2 + (F.col("strand") == "-").cast("long")).alias("join_id"), F.col("target_id").cast("string").alias("target_name"),
+        F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query_name"), "strand", "target_start", "target_end", "query_start", "query_end", (F.col("score") / 64.0).alias("confidence"),
+    )

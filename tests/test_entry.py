@@ -2,10 +2,12 @@
 
 import math
 import os
+import sys
 
 import pytest
 
 import __spark_entry__ as entry
+from spanloom.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,7 +24,7 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline"])
+@pytest.mark.parametrize("name", plans.SQL)
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
@@ -38,20 +40,11 @@ def test_against_sql(spark, name):
     assert got == want
 
 
-def test_bed_overlap_takes_all_partners(spark):
-    from spanloom.plans import views
-
-    rows = views.bed(spark, DATA).select("chrom", "o_orderkey", "chrom_start", "chrom_end").collect()
-    by_chrom = {}
-    for r in rows:
-        by_chrom.setdefault(r.chrom, []).append(r)
-    want = []
-    for a in rows:
-        met = [b.o_orderkey for b in by_chrom[a.chrom] if a.chrom_start < b.chrom_end and a.chrom_end > b.chrom_start]
-        if met:
-            want.append((a.chrom, a.o_orderkey, len(met), min(met)))
-    got = entry.queries()["bed_overlap_all"](spark, DATA)
-    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == len(rows)
+def test_core_without_the_other_queries(monkeypatch):
+    """What stands beside the core may be gone, or lack a package."""
+    monkeypatch.setitem(sys.modules, "spanloom.llm", None)
+    monkeypatch.delitem(sys.modules, "spanloom.llm.queries", raising=False)
+    assert set(entry.queries()) == set(plans.QUERIES) and set(entry.oracle_sql()) == set(plans.SQL)
 
 
 def test_entry(spark):
