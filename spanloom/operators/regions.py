@@ -95,3 +95,16 @@ def reaches(alignments: DataFrame, distance: int) -> DataFrame:
     return alignments.join(found, ["target_id", "ord"], "left").select(
         "target_id", "ord", F.coalesce("partners", F.lit(0)).cast("long").alias("partners"), F.greatest("target_end", "far").alias("reach")
     )
+
+
+def faults(alignments: DataFrame, found: DataFrame, distance: int, bin_width: int = BIN) -> DataFrame:
+    """target_id, touching, parted: regions that begin no later than an earlier one of their target ends, and alignments whose start lies within the distance of the end so
+    far of their query and strand, but in another region than the one before. Nothing where regions are right."""
+    upto = W.partitionBy("target_id").orderBy("region_start", "region_end").rowsBetween(W.unboundedPreceding, -1)
+    touching = found.withColumn("__end", F.max("region_end").over(upto)).groupBy("target_id").agg(F.sum((F.col("region_start") <= F.col("__end")).cast("long")).alias("touching"))
+    own = W.partitionBy("target_id", "query_id", "strand").orderBy("target_start", "target_end")
+    a = assign(alignments.select("target_id", "query_id", "strand", "target_start", "target_end"), found, bin_width=bin_width)
+    a = a.withColumn("__end", F.max("target_end").over(own.rowsBetween(W.unboundedPreceding, -1))).withColumn("__before", F.lag("region").over(own))
+    parted = a.groupBy("target_id").agg(F.sum(((F.col("target_start") - F.col("__end") <= distance) & (F.col("region") != F.col("__before"))).cast("long")).alias("parted"))
+    out = touching.join(parted, "target_id", "full_outer")
+    return out.select("target_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("touching", "parted")))

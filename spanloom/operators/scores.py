@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.alphabet import PAD
+
 SKIP_SCORE = 10.0
 BACKGROUND, SCORE_WINDOW, HALF_MEAN = 61, 31, 15
 STRETCH, BITS = 3000, 15  # positions of a running sum; bits that one base's count takes
@@ -51,6 +53,15 @@ def background(frame: DataFrame, keys: list[str], pos: str, code: str, width: in
     return f.select(*keys, pos, *(((4 * c + missing) / F.lit(16.0 * width)).alias(f"bg_{b}") for b, c in zip("acgt", counts)))
 
 
+def region_bases(alignments: DataFrame, spans: DataFrame, keys: list[str], order: str, start: str = "target_start", codes: str = "codes", low: str = "region_start", high: str = "region_end") -> DataFrame:
+    """keys, pos, code: a base for each position of each span. The last alignment that covers a position (by ``order``) gives it, and where there is none it is a pad.
+    ``codes``: an alignment's target letters without gaps."""
+    f = alignments.select(*keys, order, start, F.posexplode(codes).alias("__i", "__code"))
+    seen = f.groupBy(*keys, (F.col(start) + F.col("__i")).alias("pos")).agg(F.max_by("__code", order).alias("code"))
+    every = spans.select(*keys, F.explode(F.sequence(low, high)).alias("pos"))
+    return every.join(seen, [*keys, "pos"], "left").withColumn("code", F.coalesce("code", F.lit(PAD)).cast("long"))
+
+
 def windowed_scores(frame: DataFrame, keys: list[str], pos: str, s: str, g: str, half: int = HALF_MEAN) -> DataFrame:
     """keys, pos, window: the sliding sum of an alignment's scores by its literal rule. The first window has ``half`` columns; each step adds
     the column ``half`` ahead (column ``half`` itself is never added, at the end the last column is taken again or nothing), and evicts the
@@ -113,8 +124,10 @@ def centred_mean(cells: DataFrame, keys: list[str], pos: str, value: str = "conf
     return f.withColumn("smooth", total / n).drop("__sum", "__i", "__last")
 
 
-def by_alignment(cells: DataFrame, keys: list[str], value: str = "conf") -> DataFrame:
-    return cells.groupBy(*keys).agg(F.avg(value).alias("mean_conf"), F.count("*").cast("long").alias("columns"))
+def by_alignment(cells: DataFrame, keys: list[str], value: str = "conf", pos: str | None = None) -> DataFrame:
+    """keys, mean_conf, columns; with ``pos`` also ``vector``, the values in order of position."""
+    vector = [] if pos is None else [F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))), lambda x: x["v"]).alias("vector")]
+    return cells.groupBy(*keys).agg(F.avg(value).alias("mean_conf"), F.count("*").cast("long").alias("columns"), *vector)
 
 
 def skip_adjust(jump: float, loop: float) -> float:
@@ -141,3 +154,14 @@ def gap_runs(frame: DataFrame, keys: list[str], pos: str, gap: str, opening: flo
     f = f.withColumn("run", F.when(F.col(gap), F.count("*").over(own)).otherwise(F.lit(0)).cast("long"))
     closed = F.max(pos).over(own) < F.max(pos).over(W.partitionBy(*keys))
     return f.withColumn("share", F.when(F.col(gap) & closed, gap_score(F.col("run"), opening, extension) / F.col("run")).otherwise(F.lit(0.0))).drop("__edge", "__run")
+
+
+def target_gaps(frame: DataFrame, keys: list[str], pos: str, gap: str, opening: float, extension: float) -> DataFrame:
+    """keys, pos, g of the rows that are no gap of the target: the score of the run of gaps right before, or 0; a run that nothing follows is lost.
+    ``pos`` counts an alignment's characters without holes."""
+    before = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
+    last = F.max(F.when(~F.col(gap), F.col(pos))).over(before)
+    first = F.min(pos).over(W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow))
+    run = F.col(pos) - F.coalesce(last, first - 1) - 1
+    f = frame.withColumn("__run", run).where(~F.col(gap))
+    return f.select(*keys, pos, F.when(F.col("__run") > 0, gap_score(F.col("__run"), opening, extension)).otherwise(F.lit(0.0)).alias("g"))

@@ -65,6 +65,13 @@ def assign_region(spark: SparkSession, d: str) -> DataFrame:
     return regions.assign(a, regions.regions(a, DISTANCE, bin_width=400), bin_width=400).select("target_id", "ord", "region")
 
 
+@query("SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS target_id, 0::BIGINT AS touching, 0::BIGINT AS parted FROM lineitem")
+def region_faults(spark: SparkSession, d: str) -> DataFrame:
+    """What would be wrong with the regions: nothing."""
+    a = aln(spark, d)
+    return regions.faults(a, regions.regions(a, DISTANCE, bin_width=400), DISTANCE, bin_width=400)
+
+
 @query(sql("aln") + f""" SELECT a.target_id, a.ord, count(b.ord) AS partners, greatest(a.target_end, coalesce(max(b.target_end), 0)) AS reach FROM aln a
 LEFT JOIN aln b ON a.target_id = b.target_id AND a.query_id = b.query_id AND a.strand = b.strand AND b.ord > a.ord AND b.target_start - a.target_end <= {DISTANCE}
 GROUP BY a.target_id, a.ord, a.target_end""")
@@ -80,6 +87,26 @@ def background_composition(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "pos", *(F.round(f"bg_{b}", 6).alias(f"bg_{b}") for b in "acgt"))
 
 
+@query(ISLANDS + """, lettered AS (
+  SELECT n.target_id, n.region, n.ord, unnest(range(a.target_start, a.target_end + 1)) AS pos FROM numbered n JOIN aln a ON n.target_id = a.target_id AND n.ord = a.ord
+), seen AS (SELECT target_id, region, pos, max_by((pos * 7 + ord * 3) % 5, ord) AS code FROM lettered GROUP BY target_id, region, pos),
+whole AS (
+  SELECT f.target_id, f.region, f.pos, coalesce(code, 14) AS code FROM (SELECT target_id, region, unnest(range(region_start, region_end + 1)) AS pos FROM found) f
+  LEFT JOIN seen s ON f.target_id = s.target_id AND f.region = s.region AND f.pos = s.pos
+) SELECT target_id, CAST(region AS BIGINT) AS region, pos, """ + ", ".join(
+    f"round((sum(CASE WHEN code = {i} THEN 1.0 WHEN code >= 4 THEN 0.25 ELSE 0.0 END) OVER w + 0.25 * (61 - count(*) OVER w)) / 61.0, 6)::DOUBLE AS bg_{b}" for i, b in enumerate("acgt")
+) + " FROM whole WINDOW w AS (PARTITION BY target_id, region ORDER BY pos ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING)")
+def region_background(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments of a region lie over each other, with every fifth letter ambiguous."""
+    a = aln(spark, d)
+    found = regions.regions(a, DISTANCE, bin_width=400)
+    letters = F.transform(F.sequence("target_start", "target_end"), lambda c: (c * 7 + F.col("ord") * 3) % 5)
+    placed = regions.assign(a, found, bin_width=400).withColumn("codes", letters)
+    bases = scores.region_bases(placed, found, ["target_id", "region"], "ord")
+    out = scores.background(bases, ["target_id", "region"], "pos", "code")
+    return out.select("target_id", "region", "pos", *(F.round(f"bg_{b}", 6).alias(f"bg_{b}") for b in "acgt"))
+
+
 @query(sql("positions") + """, sized AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS n FROM positions),
 placed AS (
   SELECT a.vec_id, a.pos,
@@ -117,9 +144,12 @@ def centred_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql("confident") + """, smoothed AS (SELECT *, avg(conf) OVER (PARTITION BY target_id, ord ORDER BY col ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS smooth FROM confident)
-SELECT target_id, ord, round(avg(smooth), 9) AS mean_conf, count(*) AS columns FROM smoothed GROUP BY target_id, ord""")
+SELECT target_id, ord, round(avg(smooth), 9) AS mean_conf, count(*) AS columns, string_agg(CAST(round(smooth * 1000000) AS BIGINT), ',' ORDER BY col) AS vector FROM smoothed GROUP BY target_id, ord""")
 def confidence_by_alignment(spark: SparkSession, d: str) -> DataFrame:
-    return scores.by_alignment(_smooth(spark, d), ["target_id", "ord"], "smooth").withColumn("mean_conf", F.round("mean_conf", 9))
+    """The vector's values are in millionths."""
+    found = scores.by_alignment(_smooth(spark, d), ["target_id", "ord"], "smooth", "col")
+    vector = F.array_join(F.transform("vector", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+    return found.withColumn("mean_conf", F.round("mean_conf", 9)).withColumn("vector", vector)
 
 
 @query(sql("scored") + f""" SELECT target_id, col, round(1024.0 / (1024.0 + sum(power(2.0::DOUBLE, score))) * power({JUMP}, 1.0 / {LOOP}), 12) AS skip FROM scored GROUP BY target_id, col""")
@@ -185,6 +215,13 @@ def gap_run_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.gap_runs(p, ["vec_id"], "pos", "gap", OPEN, EXTEND).select("vec_id", "pos", "run", F.round("share", 9).alias("share"))
 
 
+@query(sql("positions") + f""", gaps AS (SELECT *, s < 0 AS gap FROM positions),
+last AS (SELECT *, coalesce(max(CASE WHEN NOT gap THEN pos END) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM gaps)
+SELECT vec_id, pos, CASE WHEN pos - before > 1 THEN {OPEN} + (pos - before - 2) * {EXTEND} ELSE 0.0 END::DOUBLE AS g FROM last WHERE NOT gap""")
+def target_gap_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scores.target_gaps(views.positions(spark, d).withColumn("gap", F.col("s") < 0), ["vec_id"], "pos", "gap", OPEN, EXTEND).select("vec_id", "pos", "g")
+
+
 @query(sql("positions") + """ SELECT vec_id, pos, CAST(vec_id % 50 + coalesce(sum(CASE WHEN s < 0 THEN 0 WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END)
  OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS consensus FROM positions""")
 def consensus_positions(spark: SparkSession, d: str) -> DataFrame:
