@@ -347,6 +347,57 @@ def test_quality(spark):
     assert quality.score(odd(spark), labels).count() == len(ODD) + 2
 
 
+def plain_features(text):
+    """The measures by their names, from characters and lists."""
+    text = text or ""
+    raw, words = text.encode(), text.split()
+    n, m = max(1, len(raw)), max(1, len(words))
+    lines = [x for x in text.split("\n") if x.strip()]
+    odd = {b for b in range(128) if not (chr(b).isalnum() or chr(b) in " \t\n\v\f\r,.")}
+    pairs = list(zip(words, words[1:]))
+    share = lambda f: sum(map(f, raw)) / n
+    each = lambda f: sum(map(f, words)) / m
+    most = lambda xs: max((xs.count(x) for x in set(xs)), default=0)
+    values = {
+        "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(words)), "word_length": each(len), "upper": share(lambda b: 65 <= b <= 90), "digits": share(lambda b: 48 <= b <= 57),
+        "symbols": share(lambda b: b in odd), "exclaim": share(lambda b: b == 33), "pipes": share(lambda b: b == 124), "stops": sum(b in b",." for b in raw) / m, "distinct_words": len(set(words)) / m,
+        "distinct_lines": len(set(lines)) / max(1, len(lines)), "top_word": most(words) / m, "same_next": sum(a == b for a, b in pairs) / m, "all_caps_words": each(lambda w: len(w) > 1 and w.isupper()),
+        "words_with_symbols": each(lambda w: not w[-1].isalnum() and w[-1] not in ".,"), "line_length": math.log1p(n / max(1, len(lines))), "symbol_kinds": len({b for b in raw if b in odd}),
+        "top_bigram": most(pairs) / m, "capital_starts": each(lambda w: w[0].isupper()), "repeated_line_share": sum(lines.count(x) > 1 for x in lines) / max(1, len(lines)),
+    }
+    return [values[name] for name in quality.NAMES]
+
+
+def test_quality_against_a_plain_version(spark):
+    """Features, the optimum of the pairs' logistic loss, the quantile, and the scores that follow."""
+    rng = np.random.default_rng(19)
+    texts = [t for t in ODD if t is None or len(t) < 1000] + ["A b. A b!\nA b.\n\n| É ÀÉ 12, x-"] + [" ".join(rng.choice(["ab", "Cd,", "EF", "g.", "12", "!!"], 12)) for _ in range(150)]
+    assert all(np.allclose(quality.features(t), plain_features(t)) for t in texts)
+    values = np.array([plain_features(t) for t in texts])
+    good = np.array([("EF" in (t or "")) != (rng.random() < 0.2) for t in texts])
+    cuts, w, middle = quality.fit(values, good, share=0.6)
+    pick = np.random.default_rng(7)
+    up, down = pick.choice(np.flatnonzero(good), quality.PAIRS), pick.choice(np.flatnonzero(~good), quality.PAIRS)
+    steps = np.array([[float(v > c) for v, cs in zip(row, cuts) for c in cs] for row in values])
+    assert np.allclose(cuts, [[np.quantile(column, q) for q in np.linspace(0, 1, quality.STEPS + 2)[1:-1]] for column in values.T])
+    slope = -w.copy()
+    for a, b in zip(up, down):
+        d = steps[a] - steps[b]
+        slope += d / (1 + math.exp(d @ w))
+    assert np.abs(slope).max() < 1e-3  # a convex loss is least where its slope is nothing
+    strength = steps @ w
+    above = sum(0.6 / good.sum() if g else 0.4 / (~good).sum() for g, x in zip(good, strength) if x > middle)
+    assert abs(above - 0.6) < 0.05
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good)], "doc_id long, quality int, toxic int")
+    got = quality.score(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), labels).toPandas().sort_values("doc_id")
+    seen = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    order = {i: k for k, i in enumerate(r.id for r in spark.createDataFrame([(i,) for i in seen], "id long").orderBy(F.xxhash64("id")).collect())}
+    seen.sort(key=order.__getitem__)
+    cuts, w, middle = quality.fit(values[seen], good[seen], float(good[seen].mean()))
+    steps = np.array([[float(v > c) for v, cs in zip(row, cuts) for c in cs] for row in values])
+    assert np.allclose(got.score, [1 / (1 + math.exp(-(x - middle + math.log(0.7 / 0.3)))) for x in steps @ w])
+
+
 def test_licenses(spark):
     rng = np.random.default_rng(8)
     vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()} | {"foo", "bar"})
