@@ -280,6 +280,29 @@ def test_pieces(spark):
     assert pieces.encode(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("chars", [1, 9, 10_000])
+def test_pieces_of_long_texts(spark, monkeypatch, chars):
+    """In parts the same draws as whole."""
+    m = pieces.Model(open(pieces.MODEL, "rb").read())
+    rng = np.random.default_rng(20)
+    for i, t in enumerate(["a", " ", "", "\u2581 \u2603\u2603x  y", *(" ".join(rng.choice(["house", "the", "x\u2603", "  ", "\n", "un", "likely"], 30)) for _ in range(25))]):
+        key = pieces.row_key(i, "t")
+        whole, parts = pieces.sample(m, [t], np.array([key], np.uint64), 4)[0], pieces.sample_long(m, t, key, 4, pieces.Units(m), chars)
+        if t:
+            assert [x[0].tolist() for x in whole] == [x[0].tolist() for x in parts]
+            assert np.allclose([x[1:] for x in whole], [x[1:] for x in parts])
+            assert all(pieces.decode(m, x[0]) == t for x in parts)
+
+
+def test_long_texts_in_a_table(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "LONG", 10)
+    monkeypatch.setattr(pieces, "BATCH", 8)
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["ab", None, "x" * 11, "abcdefgh", "", "y" * 20])], ["id", "text"])
+    assert list(pieces.batches_of(b)) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
+
+
 def test_pieces_with_other_batches(monkeypatch):
     m = pieces.Model(open(pieces.MODEL, "rb").read())
     texts, keys = ["a b c", "hello there", "x  y\n"], np.array([1, 2, 3], np.uint64)
