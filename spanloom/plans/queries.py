@@ -51,25 +51,25 @@ ISLANDS = sql("aln") + f""", reach AS (
 
 @query(ISLANDS + " SELECT target_id, region, region_start, region_end, n FROM found")
 def region_merge(spark: SparkSession, d: str) -> DataFrame:
-    return regions.regions(aln(spark, d), DISTANCE, bin_width=400)
+    return regions.regions(aln(spark, d), DISTANCE)
 
 
 @query(ISLANDS + " SELECT target_id, region, region_start, region_end, row_number() OVER (ORDER BY target_id, region_start) - 1 AS region_id FROM found")
 def region_number(spark: SparkSession, d: str) -> DataFrame:
-    return regions.numbered(regions.regions(aln(spark, d), DISTANCE, bin_width=400)).drop("n")
+    return regions.numbered(regions.regions(aln(spark, d), DISTANCE)).drop("n")
 
 
 @query(ISLANDS + " SELECT target_id, ord, CAST(region AS BIGINT) AS region FROM numbered")
 def assign_region(spark: SparkSession, d: str) -> DataFrame:
     a = aln(spark, d)
-    return regions.assign(a, regions.regions(a, DISTANCE, bin_width=400), bin_width=400).select("target_id", "ord", "region")
+    return regions.assign(a, regions.regions(a, DISTANCE)).select("target_id", "ord", "region")
 
 
 @query("SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS target_id, 0::BIGINT AS touching, 0::BIGINT AS parted FROM lineitem")
 def region_faults(spark: SparkSession, d: str) -> DataFrame:
     """What would be wrong with the regions: nothing."""
     a = aln(spark, d)
-    return regions.faults(a, regions.regions(a, DISTANCE, bin_width=400), DISTANCE, bin_width=400)
+    return regions.faults(a, regions.regions(a, DISTANCE), DISTANCE)
 
 
 @query(sql("aln") + f""" SELECT a.target_id, a.ord, count(b.ord) AS partners, greatest(a.target_end, coalesce(max(b.target_end), 0)) AS reach FROM aln a
@@ -99,9 +99,9 @@ whole AS (
 def region_background(spark: SparkSession, d: str) -> DataFrame:
     """Alignments of a region lie over each other, with every fifth letter ambiguous."""
     a = aln(spark, d)
-    found = regions.regions(a, DISTANCE, bin_width=400)
+    found = regions.regions(a, DISTANCE)
     letters = F.transform(F.sequence("target_start", "target_end"), lambda c: (c * 7 + F.col("ord") * 3) % 5)
-    placed = regions.assign(a, found, bin_width=400).withColumn("codes", letters)
+    placed = regions.assign(a, found).withColumn("codes", letters)
     bases = scores.region_bases(placed, found, ["target_id", "region"], "ord")
     out = scores.background(bases, ["target_id", "region"], "pos", "code")
     return out.select("target_id", "region", "pos", *(F.round(f"bg_{b}", 6).alias(f"bg_{b}") for b in "acgt"))
@@ -144,12 +144,17 @@ def centred_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql("confident") + """, smoothed AS (SELECT *, avg(conf) OVER (PARTITION BY target_id, ord ORDER BY col ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS smooth FROM confident)
-SELECT target_id, ord, round(avg(smooth), 9) AS mean_conf, count(*) AS columns, string_agg(CAST(round(smooth * 1000000) AS BIGINT), ',' ORDER BY col) AS vector FROM smoothed GROUP BY target_id, ord""")
+SELECT target_id, ord, round(avg(smooth), 9) AS mean_conf, count(*) AS columns FROM smoothed GROUP BY target_id, ord""")
 def confidence_by_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """The vector's values are in millionths."""
+    return scores.by_alignment(_smooth(spark, d), ["target_id", "ord"], "smooth").withColumn("mean_conf", F.round("mean_conf", 9))
+
+
+@query(sql("confident") + """, smoothed AS (SELECT *, avg(conf) OVER (PARTITION BY target_id, ord ORDER BY col ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS smooth FROM confident)
+SELECT target_id, ord, string_agg(CAST(round(smooth * 1000000) AS BIGINT), ',' ORDER BY col) AS vector FROM smoothed GROUP BY target_id, ord""")
+def confidence_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Values are in millionths."""
     found = scores.by_alignment(_smooth(spark, d), ["target_id", "ord"], "smooth", "col")
-    vector = F.array_join(F.transform("vector", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
-    return found.withColumn("mean_conf", F.round("mean_conf", 9)).withColumn("vector", vector)
+    return found.select("target_id", "ord", F.array_join(F.transform("vector", lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",").alias("vector"))
 
 
 @query(sql("scored") + f""" SELECT target_id, col, round(1024.0 / (1024.0 + sum(power(2.0::DOUBLE, score))) * power({JUMP}, 1.0 / {LOOP}), 12) AS skip FROM scored GROUP BY target_id, col""")
@@ -435,8 +440,8 @@ def _grouped(spark: SparkSession, d: str, schema: str, work: Callable) -> DataFr
     """``work`` over the rows of each run of a (target, query, strand), beyond which no edge goes."""
     keys, span = ["target_id", "query_id", "strand"], ("target_start", "target_end")
     a = aln(spark, d)
-    runs = regions.merged(a.select(*keys, *span), keys, *span, DISTANCE * 10, bin_width=400).select(*keys, F.col("target_start").alias("run_start"), F.col("target_end").alias("run_end"))
-    rows = regions.assign(a, runs, bin_width=400, keys=tuple(keys), span=("run_start", "run_end"))
+    runs = regions.merged(a.select(*keys, *span), keys, *span, DISTANCE * 10).select(*keys, F.col("target_start").alias("run_start"), F.col("target_end").alias("run_end"))
+    rows = regions.assign(a, runs, keys=tuple(keys), span=("run_start", "run_end"))
 
     def run(pdf):  # noqa: ANN001, ANN202
         rows = []
