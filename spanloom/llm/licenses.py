@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import store
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # as it is before A-Z are lower-cased
-LOWER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # words
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between them, before A-Z are lower-cased
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 # What a block must hold to get a label.
@@ -58,7 +58,7 @@ def lowered(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lowered(text), F.lit(f"({LOWER})"), F.lit(1))
+    return F.array_remove(F.split(lowered(text), BETWEEN), "")
 
 
 def one_of(words: list[str]) -> str:
@@ -94,9 +94,9 @@ def width(template: str, threshold: float = THRESHOLD) -> int:
     return int(len(template.split(" ")) / threshold + 1e-9)
 
 
-def cut(body: Column, wide: int) -> Column:
-    """A text's words in pieces of twice ``wide``, each as one string; every ``wide`` consecutive words lie in one of them."""
-    words = words_of(body)
+def cut(words: Column, wide: int) -> Column:
+    """Words in pieces of twice ``wide``, each as one string; every ``wide`` consecutive words lie in one of them. ``words`` is a column
+    of a table: a longer expression would be worked again for each piece."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - wide, F.lit(1)), F.lit(wide))
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, 2 * wide), " "))
 
@@ -122,15 +122,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, base: t
     has = F.expr("false")
     for w in ends:
         has |= F.contains(F.lower(F.col("body")), F.lit(w))
-    first = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body")).select(
-        "doc_id",
+    read = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body")).withColumn("hit", F.col("body").rlike(one))
+    first = read.select(
+        "doc_id", "hit",
         F.xxhash64("body").alias("key"),
-        F.regexp_count("body", F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(has, words_of(F.col("body"))).otherwise(F.array().cast("array<string>")).alias("words"),
-        F.when(F.col("body").rlike(one), F.filter(cut(F.col("body"), max(widths)) if windows else F.split("body", "\n"), lambda x: x.rlike(one))).alias("blocks"),
+        F.size(F.array_remove(F.split("body", BETWEEN), "")).cast("long").alias("n_words"),
+        F.when(has | (F.col("hit") & windows), words_of(F.col("body"))).otherwise(F.array().cast("array<string>")).alias("words"),
+        *([] if windows else [F.split("body", "\n").alias("lines")]),
     )
+    pieces = cut(F.col("words"), max(widths)) if windows else F.col("lines")
+    blocks = F.when(F.col("hit"), F.filter(pieces, lambda x: x.rlike(one))).alias("blocks")
     slim = store(
-        first.select("doc_id", "key", "n_words", "blocks", *(places(F.col("words"), p).alias(f"at{i}") for i, (p, _) in enumerate(base))),
+        first.select("doc_id", "key", "n_words", blocks, *(places(F.col("words"), p).alias(f"at{i}") for i, (p, _) in enumerate(base))),
         "licenses",
     )
     all_places = F.concat(*(F.col(f"at{i}") for i in range(len(base))))
