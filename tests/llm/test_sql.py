@@ -35,3 +35,16 @@ def test_against_sql(spark, name):
     assert got == want
     if name == "quoted_conversations":
         assert sum(float(r[sorted(names).index("n_linked")]) for r in got) > 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from spanloom.llm import common
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(getConf=lambda: nothing, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(cluster)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "hdfs://shared/x"), sparkContext=cluster.sparkContext)
+    assert common.shared_folder(named) == "hdfs://shared/x" and common.fresh(["a", "A_", "b"], "a", "c") == ["a__", "c"]
