@@ -3,7 +3,7 @@
 Alignments of one (target, query, strand) at most ``distance`` apart make one run; runs that overlap or touch make one region.
 A run ends where the next start lies more than ``distance`` beyond the largest end so far: the same as letting every
 alignment reach to the ends of all later ones within the distance of its own end, without that self-join.
-The merge is done in bins of a target and across bins on one row for each bin, so one long target is no single task's sort.
+The merge is done in bins of a target and across bins on the two islands at most that touch a bin's edges, so one long target is no single task's sort.
 """
 
 from __future__ import annotations
@@ -27,25 +27,14 @@ def islands(frame: DataFrame, keys: list[str], start: str, end: str, gap: int =
 
 
 def merged(frame: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, bin_width: int = BIN) -> DataFrame:
-    """``islands``, found in bins and put together across them. Of each bin the largest end and the last island's start go into running maxima over the key's bins;
-    an island that the earlier bins reach belongs to the last one begun before. So a key's sort has one row for each bin."""
-    binned = [*keys, "__bin"]
-    local = islands(frame.withColumn("__bin", F.floor(F.col(start) / bin_width)), binned, start, end, gap)
-    earlier = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    new = lambda s: F.col("__reach").isNull() | (F.col(s) > F.col("__reach") + gap)
-    bins = local.groupBy(*binned).agg(F.max(end).alias("__far"), F.max(start).alias("__late")).withColumn("__reach", F.max("__far").over(earlier))
-    bins = bins.withColumn("__open", F.max(F.when(new("__late"), F.col("__late"))).over(earlier)).select(*binned, "__reach", "__open")
-    both = local.join(bins, binned).withColumn("__first", F.when(new(start), F.col(start)).otherwise(F.col("__open")))
-    return both.groupBy(*keys, "__first").agg(F.max(end).alias(end), F.sum("n").alias("n")).select(*keys, F.col("__first").alias(start), end, "n")
-
-
-def placed(frame: DataFrame, keys: list[str], start: str, name: str, bin_width: int = BIN) -> DataFrame:
-    """``frame`` with ``name``: the place (from 0) in order of ``start`` within the key, from the places within bins and the counts of earlier bins."""
-    f = frame.withColumn("__bin", F.floor(F.col(start) / bin_width))
-    earlier = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = f.groupBy(*keys, "__bin").agg(F.count("*").alias("__n")).select(*keys, "__bin", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    within = F.row_number().over(W.partitionBy(*keys, "__bin").orderBy(start)) - 1
-    return f.join(bins, [*keys, "__bin"]).withColumn(name, (F.col("__base") + within).cast("long")).drop("__bin", "__base")
+    """``islands``, found in bins and put together across them. An interval goes to each bin that it or its gap reaches, and counts in its own. What lies within a bin is then done;
+    of a bin at most the first and the last island touch an edge, and only those are sorted by key again."""
+    first, last = F.floor(F.col(start) / bin_width), F.floor((F.col(end) + gap) / bin_width)
+    f = frame.select(*keys, start, end, F.col("n") if "n" in frame.columns else F.lit(1).cast("long").alias("n"), F.explode(F.sequence(first, last)).alias("__bin"))
+    f = f.withColumn("n", F.when(F.col("__bin") == first, F.col("n")).otherwise(F.lit(0)).cast("long"))
+    local = islands(f, [*keys, "__bin"], start, end, gap)
+    touches = (first < F.col("__bin")) | (last > F.col("__bin"))
+    return islands(local.withColumn("__bin", F.when(~touches, F.col("__bin"))), [*keys, "__bin"], start, end, gap).drop("__bin")
 
 
 def regions(alignments: DataFrame, distance: int, extra: DataFrame | None = None, bin_width: int = BIN) -> DataFrame:
@@ -55,8 +44,9 @@ def regions(alignments: DataFrame, distance: int, extra: DataFrame | None = None
     spans = runs.select("target_id", "target_start", "target_end", "n")
     if extra is not None:
         spans = spans.unionByName(extra.select("target_id", "target_start", "target_end", F.lit(1).cast("long").alias("n")))
-    out = placed(merged(spans, ["target_id"], "target_start", "target_end", 0, bin_width), ["target_id"], "target_start", "region", bin_width)
-    return out.select("target_id", "region", F.col("target_start").alias("region_start"), F.col("target_end").alias("region_end"), "n")
+    out = merged(spans, ["target_id"], "target_start", "target_end", 0, bin_width)
+    number = F.row_number().over(W.partitionBy("target_id").orderBy("target_start")) - 1  # a target has no more regions than its length has join distances
+    return out.select("target_id", number.cast("long").alias("region"), F.col("target_start").alias("region_start"), F.col("target_end").alias("region_end"), "n")
 
 
 def assign(frame: DataFrame, found: DataFrame, start: str = "target_start", bin_width: int = BIN, keys: tuple[str, ...] = ("target_id",), span: tuple[str, str] = ("region_start", "region_end")) -> DataFrame:
