@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-C", "--consensus-join-distance", type=int, default=d.consensus_join_distance, metavar="n", help="accepted, without effect")
     p.add_argument("-M", "--min-fragment-length", type=int, default=d.min_fragment_length, metavar="n", help="accepted, without effect")
     p.add_argument("-F", "--fudge-distance", type=int, default=d.fudge_distance, metavar="n", help="tolerance of gaps and fragments")
-    p.add_argument("-U", "--ultra-file", metavar="path", help="tandem repeats (JSON)")
+    p.add_argument("-U", "--repeats", metavar="path", help="tandem repeats (JSON)")
     p.add_argument("--out", metavar="path", help="folder for the annotations; without it they are printed")
     p.add_argument("--viz", action="store_true", help="write a page for each region")
     p.add_argument("--assembly-viz", action="store_true", help="write a page for each query and strand of a region")
@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = builder().getOrCreate()
     pages = args.viz or args.assembly_viz
     alignments = readers.read_alignments(spark, args.alignments)
-    repeats = None if args.ultra_file is None else readers.read_repeats(spark, args.ultra_file)
+    repeats = None if args.repeats is None else readers.read_repeats(spark, args.repeats)
     bed = None if args.viz_ref_bed is None or not args.viz else checked(readers.read_bed(spark, args.viz_ref_bed))
     found = adjudicate.annotations(alignments, readers.read_matrices(spark, args.matrices), repeats, chosen, detail=pages)
     if pages:
