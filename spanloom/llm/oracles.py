@@ -163,3 +163,32 @@ QUOTING = r"""marked AS (
 
 SQL["op8_chat"] = _chat(PLAIN)
 SQL["quoted_conversations"] = _chat(QUOTING)
+
+
+def _lloyd(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Every round written out: all distances, the nearest centroid, floors of means."""
+    parts = [rf"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < {k}
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT rid, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT k.rid, c.c, CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM kept k CROSS JOIN c{i} c) GROUP BY rid
+)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS MATERIALIZED (
+  SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM (
+    SELECT a.best.c AS c, j, sum(k.v[j]) AS s, count(*) AS n FROM a{i} a JOIN kept k USING (rid), range(1, {dim + 1}) g(j) GROUP BY a.best.c, j) GROUP BY c
+), c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m USING (c))""")
+    return ", ".join(parts) + f"""
+SELECT k.vec_id, CAST(a.best.c AS INTEGER) AS cluster, a.best.d AS distance, CAST(sum(a.best.d) OVER (PARTITION BY a.best.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept k USING (rid) JOIN c{rounds} f ON f.c = a.best.c
+"""
+
+
+SQL["op11_lloyd"] = _lloyd()

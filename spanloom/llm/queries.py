@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat, common, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
+from . import chat, common, langid, licenses, lloyd, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.inertia(*lloyd.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_neighbours": op2_neighbours,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quoted_conversations": quoted_conversations,
     "op9_topk": op9_topk,
     "op10_simhash": op10_simhash,
+    "op11_lloyd": op11_lloyd,
 }
 
 ORACLES: dict[str, str] = oracles.SQL
