@@ -192,3 +192,45 @@ FROM a{rounds} a JOIN kept k USING (rid) JOIN c{rounds} f ON f.c = a.best.c
 
 
 SQL["op11_lloyd"] = _lloyd()
+
+SQL["op12_merkle"] = r"""
+WITH RECURSIVE fields AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, text, CAST(doc_id AS VARCHAR) AS a, source AS b, lang AS c, CAST(n_chars AS VARCHAR) AS d FROM documents
+), heads AS (
+  SELECT *, list_transform([a, b, c, d], lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END) AS head, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         list_reduce(list_concat([4294967295], flatten(list_transform(range(1, len(a) + 1), lambda i: [CAST(ascii(a[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                     lambda k, x: CASE WHEN x >= 0 THEN xor(k, x) WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END) AS crc FROM fields
+), hashed AS (
+  SELECT rid, doc_id, lang, sha256(array_to_string(head, '') || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(array_to_string(head, '') || CASE WHEN text IS NULL THEN '-' ELSE strlen(low) || ':' || low END) END AS changed FROM heads
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), nodes AS (
+  SELECT 0 AS level, lang, i, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY level, lang, i // 8, n
+), subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS k FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, g AS i, k AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY level, i // 8, n
+), steps AS (
+  SELECT l.rid, o.level AS step, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i < l.i // CAST(pow(8, o.level) AS BIGINT)), '') AS before,
+         coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i > l.i // CAST(pow(8, o.level) AS BIGINT)), '') AS after
+  FROM leaves l JOIN nodes o ON l.lang IS NOT DISTINCT FROM o.lang AND o.n > 1 AND o.i // 8 = l.i // CAST(pow(8, o.level + 1) AS BIGINT) GROUP BY l.rid, o.level
+  UNION ALL
+  SELECT l.rid, 100 + o.level, coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i < s.g // CAST(pow(8, o.level) AS BIGINT)), ''),
+         coalesce(string_agg(o.digest, '' ORDER BY o.i) FILTER (WHERE o.i > s.g // CAST(pow(8, o.level) AS BIGINT)), '')
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN upper o ON o.n > 1 AND o.i // 8 = s.g // CAST(pow(8, o.level + 1) AS BIGINT) GROUP BY l.rid, o.level
+), paths AS (
+  SELECT rid, sha256(string_agg(before || after, '' ORDER BY step)) AS proof, list(struct_pack(a := before, b := after) ORDER BY step) AS way FROM steps GROUP BY rid
+), folded AS (
+  SELECT l.rid, way, 1 AS k, coalesce(changed, leaf) AS now FROM leaves l LEFT JOIN paths USING (rid)
+  UNION ALL
+  SELECT rid, way, k + 1, sha256(way[k].a || now || way[k].b) FROM folded WHERE k <= len(way)
+)
+SELECT doc_id, leaf, subroot, u.digest AS root, coalesce(proof, sha256('')) AS proof_sha256, f.now AS folded_root, f.now = u.digest AS verified
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT digest FROM upper WHERE n = 1) u ON TRUE LEFT JOIN paths p USING (rid)
+JOIN (SELECT rid, now FROM folded WHERE k > coalesce(len(way), 0)) f USING (rid)
+"""

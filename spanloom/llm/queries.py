@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat, common, langid, licenses, lloyd, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
+from . import chat, common, langid, licenses, lloyd, merkle, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
 from .common import table
 
 
@@ -78,6 +78,10 @@ def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.inertia(*lloyd.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_neighbours": op2_neighbours,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_simhash": op10_simhash,
     "op11_lloyd": op11_lloyd,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLES: dict[str, str] = oracles.SQL
