@@ -234,3 +234,26 @@ SELECT doc_id, leaf, subroot, u.digest AS root, coalesce(proof, sha256('')) AS p
 FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT digest FROM upper WHERE n = 1) u ON TRUE LEFT JOIN paths p USING (rid)
 JOIN (SELECT rid, now FROM folded WHERE k > coalesce(len(way), 0)) f USING (rid)
 """
+
+
+def _substrings(length: int = 13) -> str:
+    ahead = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER w" for i in range(1, length))])
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), laid AS (
+  SELECT rid, doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM texts
+), windows AS (
+  SELECT *, {ahead} AS body FROM laid WINDOW w AS (PARTITION BY rid ORDER BY i)
+), judged AS (
+  SELECT rid, i, word, body IS NOT NULL AND min(doc_id) OVER (PARTITION BY body) < doc_id AS again FROM windows
+), marked AS (
+  SELECT rid, i, word, max(again) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW) AS gone FROM judged
+), counted AS (
+  SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN counted USING (rid)
+"""
+
+
+SQL["op13_substrings"] = _substrings()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import chat, common, langid, licenses, lloyd, merkle, mixing, neighbours, oracles, pieces, pii, quality, simhash, topk
+from . import chat, common, langid, licenses, lloyd, merkle, mixing, neighbours, oracles, pieces, pii, quality, simhash, substrings, topk
 from .common import table
 
 
@@ -82,6 +82,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(spark, sf_dir, "documents"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.strip(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_neighbours": op2_neighbours,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_lloyd": op11_lloyd,
     "op12_merkle": op12_merkle,
+    "op13_substrings": op13_substrings,
 }
 
 ORACLES: dict[str, str] = oracles.SQL
