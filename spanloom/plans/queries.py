@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import alphabet
-from ..operators import blocks, joins, kernel, regions, scores, segments
+from ..operators import blocks, joins, kernel, regions, runs, scores, segments
 from ..sources import readers
 from . import view, views
 from .adjudicate import annotations, located, with_ids
@@ -437,23 +437,46 @@ def adjudicate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, d: str, schema: str, work: Callable) -> DataFrame:
-    """``work`` over the rows of each run of a (target, query, strand), beyond which no edge goes."""
+    """``work`` over the rows of each run of a (target, query, strand), beyond which no edge goes. Many runs are worked in a task."""
     keys, span = ["target_id", "query_id", "strand"], ("target_start", "target_end")
     a = aln(spark, d)
-    runs = regions.merged(a.select(*keys, *span), keys, *span, DISTANCE * 10).select(*keys, F.col("target_start").alias("run_start"), F.col("target_end").alias("run_end"))
-    rows = regions.assign(a, runs, keys=tuple(keys), span=("run_start", "run_end"))
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        rows = []
-        for x in pdf.sort_values("ord").itertuples():
-            n = x.target_end - x.target_start + 1
-            rows.append(kernel.Row(("ali", x.ord), x.query_id, x.strand, x.target_start, x.target_end, x.query_start, x.query_end, conf=((np.arange(n) * 3 + x.ord) % 10 + 1) / 11.0))
-        return pd.DataFrame(work(rows, pdf.target_id.iloc[0]), columns=[f.split(" ")[0] for f in schema.split(", ")])
-
-    return rows.groupBy(*keys, "run_start").applyInPandas(run, schema)
+    found = regions.merged(a.select(*keys, *span), keys, *span, DISTANCE * 10).select(*keys, F.col("target_start").alias("run_start"), F.col("target_end").alias("run_end"))
+    rows = regions.assign(a, found, keys=tuple(keys), span=("run_start", "run_end"))
+
+    def run(part) -> list[tuple]:  # noqa: ANN001
+        c = {n: part.column(n).to_pylist() for n in ("ord", "query_id", "strand", *span, "query_start", "query_end")}
+        own = [kernel.Row(("ali", o), q, w, s, e, x, y, conf=((np.arange(e - s + 1) * 3 + o) % 10 + 1) / 11.0) for o, q, w, s, e, x, y in zip(*c.values())]
+        return work(own, part.column("target_id")[0].as_py())
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return runs.by_key(rows, keys, [*keys, "run_start"], ["ord"], parts, run, schema)
+
+
+EDGED = "WITH RECURSIVE" + sql("aln")[4:] + f""", pairs AS (
+  SELECT a.target_id, a.query_id, a.strand, a.ord AS a, b.ord AS b, abs(b.target_start - a.target_end) AS w FROM aln a JOIN aln b ON a.target_id = b.target_id AND a.query_id = b.query_id AND a.strand = b.strand AND b.ord > a.ord
+   AND b.target_start - a.target_end < {DISTANCE * 10} AND CASE WHEN a.strand = '+' THEN b.query_start - a.query_end ELSE a.query_end - b.query_start END > -20
+), sides AS (
+  SELECT target_id, query_id, strand, a AS own, struct_pack(w := w, o := b) AS e, FALSE AS earlier FROM pairs UNION ALL SELECT target_id, query_id, strand, b, struct_pack(w := w, o := a), TRUE FROM pairs
+), linked AS (
+  SELECT target_id, query_id, strand, own, list(e ORDER BY e) FILTER (WHERE earlier) AS l, list(e ORDER BY e) FILTER (WHERE NOT earlier) AS r, min(e.w) AS least FROM sides GROUP BY target_id, query_id, strand, own
+), nodes AS (
+  SELECT target_id, query_id, strand, map_from_entries(list(struct_pack(k := ord, v := struct_pack(s := target_start, l := coalesce(l, []), r := coalesce(r, []))))) AS node, list(ord ORDER BY least NULLS LAST, ord) AS waiting
+  FROM (SELECT target_id, query_id, strand, ord, ord AS own, target_start FROM aln) x LEFT JOIN linked USING (target_id, query_id, strand, own) GROUP BY ALL
+), steps AS (  -- each step gives one row its place: the next root, or what the root's lightest edge leads to
+  SELECT target_id, query_id, strand, node, waiting, waiting[1] AS root, waiting[1] AS new, [waiting[1]] AS placed, node[waiting[1]].l AS first, node[waiting[1]].r AS second, FALSE AS right_ FROM nodes
+  UNION ALL
+  SELECT target_id, query_id, strand, node, waiting, next_root, next, list_append(placed, next),
+         CASE WHEN grown THEN CASE WHEN later THEN lefts ELSE rights END ELSE node[next].l END, CASE WHEN grown THEN CASE WHEN later THEN node[next].r ELSE node[next].l END ELSE node[next].r END, CASE WHEN grown THEN NOT later ELSE FALSE END
+  FROM (SELECT *, grown AND node[next_root].s < node[next].s AS later, CASE WHEN right_ THEN second ELSE first END AS lefts, CASE WHEN right_ THEN first ELSE second END AS rights
+    FROM (SELECT *, best IS NOT NULL AS grown, coalesce(best.o, free[1]) AS next, CASE WHEN best IS NULL THEN free[1] ELSE root END AS next_root
+      FROM (SELECT *, list_filter(open, lambda e: e.w = list_min(list_transform(open, lambda x: x.w)))[1] AS best, list_filter(waiting, lambda x: NOT list_contains(placed, x)) AS free
+        FROM (SELECT *, list_filter(list_concat(first, second), lambda e: NOT list_contains(placed, e.o)) AS open FROM steps)))) WHERE next IS NOT NULL
+), grouped AS (
+  SELECT target_id, query_id, strand, new AS ord, root, min(new) OVER w AS assembly, count(*) OVER w AS members FROM steps WINDOW w AS (PARTITION BY target_id, query_id, strand, root)
+)"""
 
 
-@query()
+@query(EDGED + " SELECT target_id, ord, assembly, members FROM grouped")
 def greedy_assembly(spark: SparkSession, d: str) -> DataFrame:
     def work(rows: list, target: int) -> list:
         return [(target, m.key[1], min(x.key[1] for x in g), len(g)) for g in kernel.joined(rows, DISTANCE * 10) for m in g]
