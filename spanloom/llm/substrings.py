@@ -237,9 +237,14 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length
     own = slim(docs, doc_id, text)
 
     def shared() -> DataFrame:
-        """The pieces around anchors of several documents."""
+        """The pieces around anchors of several documents. The anchors are stored first: a join that reads them beside the pieces can split the tasks of frequent ones."""
         ends = occurrences(own, length).groupBy("anchor").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("anchor")
-        return store(occurrences(own, length).join(ends, "anchor", "left_semi"), "pieces")
+        several = store(ends, "anchors")
+        del ends
+        free()
+        out = store(occurrences(own, length).join(several, "anchor", "left_semi"), "pieces")
+        drop_stored(several)
+        return out
 
     def told(near: DataFrame) -> DataFrame:
         """Of each piece whether it is an earlier document's as a whole; else, how many different pieces its anchor has."""
