@@ -24,8 +24,8 @@ def core_ratio(scaled: Column, frequency: Column | float) -> Column:
 
 
 def against(core: Column, share: Column | float) -> Column:
-    """The score of a core ratio against a background share."""
-    return ln(core / share)
+    """The score of a core ratio against a background share; infinite against none."""
+    return F.when(F.lit(share) == 0, F.lit(float("inf"))).otherwise(ln(F.try_divide(core, F.lit(share))))
 
 
 def background(frame: DataFrame, keys: list[str], pos: str, code: str, width: int = BACKGROUND, stretch: int = STRETCH) -> DataFrame:
@@ -134,11 +134,11 @@ def score_params(n: Column, jump: float, loop: float) -> dict[str, Column]:
     return {"query_jump": j, "query_to_skip": j / 2 + j / loop, "query_loop": F.lit(0.0), "skip_loop": j / loop}
 
 
-def gap_score(length: Column, opening: float, extension: float) -> Column:
+def gap_score(length: Column, opening: Column | float, extension: Column | float) -> Column:
     return F.lit(opening) + F.greatest(length - 1, F.lit(0)) * F.lit(extension)
 
 
-def gap_runs(frame: DataFrame, keys: list[str], pos: str, gap: str, opening: float, extension: float) -> DataFrame:
+def gap_runs(frame: DataFrame, keys: list[str], pos: str, gap: str, opening: Column | float, extension: Column | float) -> DataFrame:
     """``frame`` (all rows) with ``run`` (length of the row's run of gaps, 0 outside) and ``share`` (the run's score spread over its columns;
     a run that nothing follows is never charged)."""
     order = W.partitionBy(*keys).orderBy(pos)
@@ -150,12 +150,12 @@ def gap_runs(frame: DataFrame, keys: list[str], pos: str, gap: str, opening: flo
     return f.withColumn("share", F.when(F.col(gap) & closed, gap_score(F.col("run"), opening, extension) / F.col("run")).otherwise(F.lit(0.0))).drop("__edge", "__run")
 
 
-def target_gaps(frame: DataFrame, keys: list[str], pos: str, gap: str, opening: float, extension: float) -> DataFrame:
-    """keys, pos, g of the rows that are no gap of the target: the score of the run of gaps right before, or 0; a run that nothing follows is lost.
+def target_gaps(frame: DataFrame, keys: list[str], pos: str, gap: str, opening: Column | float, extension: Column | float) -> DataFrame:
+    """The rows that are no gap of the target, with g: the score of the run of gaps right before, or 0; a run that nothing follows is lost.
     ``pos`` counts an alignment's characters without holes."""
     before = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, -1)
     last = F.max(F.when(~F.col(gap), F.col(pos))).over(before)
     first = F.min(pos).over(W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow))
     run = F.col(pos) - F.coalesce(last, first - 1) - 1
     f = frame.withColumn("__run", run).where(~F.col(gap))
-    return f.select(*keys, pos, F.when(F.col("__run") > 0, gap_score(F.col("__run"), opening, extension)).otherwise(F.lit(0.0)).alias("g"))
+    return f.withColumn("g", F.when(F.col("__run") > 0, gap_score(F.col("__run"), opening, extension)).otherwise(F.lit(0.0))).drop("__run")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import alphabet
-from ..operators import blocks, joins, kernel, regions, runs, scores, segments
+from ..operators import blocks, confidence, joins, kernel, regions, runs, scores, segments
 from ..sources import readers
 from . import view, views
 from .adjudicate import annotations, located, with_ids
@@ -417,7 +417,91 @@ def block_group_bed(spark: SparkSession, d: str) -> DataFrame:
 
 
 MATRIX = readers.Matrix("m", -27.0, -5.0, 0.12, [0.25] * 4, [0.25] * 4, [[(9.0 if t == q else -12.0) if t < 12 and q < 12 else 0.0 for q in range(15)] for t in range(15)])
+STEEP = readers.Matrix("n", -20.0, -3.0, 0.2, [0.25] * 4, [0.3, 0.2, 0.2, 0.3], MATRIX.raw)
 SETTINGS = Settings(target_join_distance=DISTANCE, fudge_distance=FUDGE)
+NARROW = Settings(target_join_distance=DISTANCE, score_window=5, background_window=7, half_mean=2)
+
+
+def written(spark: SparkSession, d: str) -> DataFrame:
+    """The interval view with edit strings: bases by position, some ambiguous; substitutions, letters over gaps of the query in runs of one and two, and letters over gaps of the target."""
+    at, first = F.col("ord"), F.col("target_start")
+
+    def piece(c):  # noqa: ANN001, ANN202
+        base, turn = c * 7 % 4, (c + at) % 8
+        letter = lambda x: F.substring(F.lit("ACGT"), (x + 1).cast("int"), F.lit(1))
+        own = F.when((c + at) % 11 == 0, "N").otherwise(letter(base))
+        return F.when(turn == 0, F.concat(own, F.lit("/"), letter((base + 1) % 4))).when((turn >= 3) & (turn <= 4) & (c > first), F.concat(F.lit("-"), own, F.lit("-"))).when(turn == 6, F.concat(own, F.lit("+AC+"))).otherwise(own)
+
+    return aln(spark, d).withColumn("text", F.array_join(F.transform(F.sequence("target_start", "target_end"), piece), "")).withColumn("matrix", F.when(F.col("query_id") % 3 == 0, "n").otherwise("m"))
+
+
+def scored_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Alignments with codes and repeats, each with its region."""
+    a, r = written(spark, d), views.repeats(spark, d)
+    found = regions.regions(a, DISTANCE, r.select("target_id", "target_start", "target_end"))
+    own = (F.col("target_id") * 1_000_000 + F.col("region")).alias("region_id")
+    codes = alphabet.decode(F.col("text"))
+    score = lambda i: F.pmod(F.col("repeat_id") + i, F.lit(5)).cast("double")
+    placed = regions.assign(a, found).select(own, "target_id", "query_id", "strand", "target_start", "target_end", (F.col("target_id") * 10_000_000 + F.col("ord")).alias("ali_id"), "matrix", codes["target"].alias("target_codes"), codes["query"].alias("query_codes"))
+    return placed, regions.assign(r, found).select(own, "repeat_id", "target_start", "target_end", F.array(*(score(i) for i in range(4))).alias("scores"))
+
+
+CHAIN = sql("aln", "rep") + f""", reach AS (
+  SELECT a.target_id, a.target_start AS s, greatest(a.target_end, coalesce(max(b.target_end), 0)) AS e FROM aln a
+  LEFT JOIN aln b ON a.target_id = b.target_id AND a.query_id = b.query_id AND a.strand = b.strand AND b.ord > a.ord AND b.target_start - a.target_end <= {DISTANCE} GROUP BY a.target_id, a.ord, a.target_start, a.target_end
+  UNION ALL SELECT target_id, target_start, target_end FROM rep
+), found AS MATERIALIZED (
+  SELECT target_id * 1000000 + row_number() OVER (PARTITION BY target_id ORDER BY min(s)) - 1 AS region_id, target_id, min(s) AS low, max(e) AS high FROM (
+    SELECT *, sum(brk) OVER (PARTITION BY target_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM (
+      SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY target_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM reach)) GROUP BY target_id, k
+), placed AS (
+  SELECT region_id, a.target_id * 10000000 + ord AS id, ord, query_id, target_start, unnest(range(target_start, target_end + 1)) AS col FROM aln a JOIN found f ON a.target_id = f.target_id AND a.target_start BETWEEN low AND high
+), lettered AS (
+  SELECT *, col * 7 % 4 AS base, (col + ord) % 8 AS turn, CASE WHEN (col + ord) % 11 = 0 THEN 5 ELSE col * 7 % 4 END AS t, (col + ord) % 8 BETWEEN 3 AND 4 AND col > target_start AS gap,
+         CASE WHEN query_id % 3 = 0 THEN 0.2 ELSE 0.12 END::DOUBLE AS scale, CASE WHEN query_id % 3 = 0 THEN -20.0 ELSE -27.0 END::DOUBLE AS opening, CASE WHEN query_id % 3 = 0 THEN -3.0 ELSE -5.0 END::DOUBLE AS extension FROM placed
+), pairs AS (
+  SELECT *, CASE WHEN gap THEN NULL WHEN turn = 0 THEN (base + 1) % 4 WHEN t = 5 THEN 5 ELSE base END AS q, lag(turn) OVER (PARTITION BY id ORDER BY col) = 6 AS behind,
+         CASE WHEN gap AND lag(gap) OVER (PARTITION BY id ORDER BY col) THEN 0 WHEN gap THEN 1 ELSE 0 END AS opens, max(col) OVER (PARTITION BY id) AS final FROM lettered
+), gaps AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY col ROWS UNBOUNDED PRECEDING) AS run FROM pairs),
+sized AS (SELECT *, count(*) FILTER (WHERE gap) OVER (PARTITION BY id, run) AS len, max(CASE WHEN gap THEN col END) OVER (PARTITION BY id, run) AS run_end FROM gaps),
+seen AS (SELECT region_id, col, max_by(t, (target_start, query_id, id)) AS code FROM lettered GROUP BY region_id, col),
+every AS (SELECT f.region_id, f.col, coalesce(code, 14) AS code FROM (SELECT region_id, unnest(range(low, high + 1)) AS col FROM found) f LEFT JOIN seen USING (region_id, col)),
+around AS (
+  SELECT region_id, col, """ + ", ".join(f"(sum(CASE WHEN code = {i} THEN 1.0 WHEN code >= 4 THEN 0.25 ELSE 0.0 END) OVER w + 0.25 * (7 - count(*) OVER w)) / 7.0::DOUBLE AS b{i}" for i in range(4)) + """
+  FROM every WINDOW w AS (PARTITION BY region_id ORDER BY col ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)
+), columns_ AS (
+  SELECT region_id, id, col, row_number() OVER (PARTITION BY id ORDER BY col) - 1 AS i, count(*) OVER (PARTITION BY id) AS n,
+         CASE WHEN q IS NULL THEN 0.0 WHEN t < 4 AND q < 4 THEN ln(exp(scale * CASE WHEN t = q THEN 9 ELSE -12 END) * CASE WHEN scale = 0.12::DOUBLE THEN 0.25 WHEN t IN (0, 3) THEN 0.3 ELSE 0.2 END / [b0, b1, b2, b3][t + 1])
+              ELSE scale * CASE WHEN t = q THEN 9 ELSE -12 END END + CASE WHEN gap AND (run_end < final OR turn = 6) THEN scale * (opening + (len - 1) * extension) / len ELSE 0.0 END AS s,
+         CASE WHEN behind THEN scale * (opening + extension) ELSE 0.0 END AS g FROM sized JOIN around USING (region_id, col)
+), windows AS (
+  SELECT a.region_id, 'ali' AS kind, a.id, a.col, sum(CASE WHEN k.i < least(2, a.n) THEN k.s + k.g ELSE 0 END) + CASE WHEN a.i = 0 THEN 0 ELSE
+           CASE WHEN a.n - 1 > 2 THEN sum(CASE WHEN k.i BETWEEN 3 AND least(a.n - 1, a.i + 2) THEN k.s + k.g ELSE 0 END) WHEN a.n - 1 = 2 THEN 0 ELSE sum(CASE WHEN k.i = a.n - 1 THEN k.s + k.g ELSE 0 END) END
+           - sum(CASE WHEN k.i < a.i - 2 THEN k.s ELSE 0 END) - sum(CASE WHEN k.i BETWEEN 1 AND a.i - 2 THEN k.g ELSE 0 END) END AS score
+  FROM columns_ a JOIN columns_ k ON a.id = k.id GROUP BY a.region_id, a.id, a.col, a.i, a.n
+  UNION ALL
+  SELECT region_id, 'rep', repeat_id, target_start + i, CASE WHEN i = 0 THEN 0 ELSE list_sum([x[j + 1] FOR j IN range(0, 4) IF j + 2 < 5]) + coalesce(list_sum([x[j + 1] FOR j IN range(0, 4) IF j + 2 BETWEEN 6 AND i + 5]), 0)
+           - coalesce(list_sum([x[j + 1] FOR j IN range(0, 4) IF j + 2 < i]), 0) END
+  FROM (SELECT f.region_id, repeat_id, target_start, [(repeat_id + j) % 5 FOR j IN range(0, 4)] AS x, unnest(range(0, 4)) AS i FROM rep r JOIN found f ON r.target_id = f.target_id AND r.target_start BETWEEN low AND high)
+), shared AS (SELECT *, power(2.0::DOUBLE, score) / (1024.0 + sum(power(2.0::DOUBLE, score)) OVER (PARTITION BY region_id, col)) AS conf FROM windows),
+smoothed AS (SELECT region_id, kind, id, col, conf, avg(conf) OVER (PARTITION BY region_id, kind, id ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM shared)"""
+
+
+@query(CHAIN + " SELECT region_id, kind, id, col, round(conf, 9) AS conf, round(smooth, 9) AS smooth FROM smoothed")
+def region_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """From edit strings to smoothed confidences, alignments and repeats together."""
+    placed, reps = scored_regions(spark, d)
+    out = confidence.confidences(placed, {"m": MATRIX, "n": STEEP}, NARROW, reps)
+    return out.select("region_id", "kind", "id", "col", F.round("conf", 9).alias("conf"), F.round("smooth", 9).alias("smooth"))
+
+
+@query(CHAIN + f""", taken AS (SELECT region_id, col, sum(conf) AS taken FROM shared GROUP BY region_id, col)
+SELECT region_id, col, round((1 - coalesce(taken, 0)) * power({JUMP}::DOUBLE, 1 / {LOOP}), 9) AS skip FROM every LEFT JOIN taken USING (region_id, col)""")
+def region_skip(spark: SparkSession, d: str) -> DataFrame:
+    """What is left to the skip row at every column of a region, those that nothing covers too."""
+    placed, reps = scored_regions(spark, d)
+    out = confidence.skip_confidences(confidence.confidences(placed, {"m": MATRIX, "n": STEEP}, NARROW, reps), confidence.region_spans(placed, reps), NARROW)
+    return out.select("region_id", "col", F.round("skip", 9).alias("skip"))
 
 
 def alignments(spark: SparkSession, d: str) -> DataFrame:
