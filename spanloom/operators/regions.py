@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import totals_before
+
 BIN = 1 << 20  # positions
 
 
@@ -34,7 +36,8 @@ def merged(frame: DataFrame, keys: list[str], start: str, end: str, gap: int = 0
     f = f.withColumn("n", F.when(F.col("__bin") == first, F.col("n")).otherwise(F.lit(0)).cast("long"))
     local = islands(f, [*keys, "__bin"], start, end, gap)
     touches = (first < F.col("__bin")) | (last > F.col("__bin"))
-    return islands(local.withColumn("__bin", F.when(~touches, F.col("__bin"))), [*keys, "__bin"], start, end, gap).drop("__bin")
+    done = local.where(~touches).drop("__bin")
+    return done.unionByName(islands(local.where(touches).drop("__bin"), keys, start, end, gap))
 
 
 def regions(alignments: DataFrame, distance: int, extra: DataFrame | None = None, bin_width: int = BIN) -> DataFrame:
@@ -58,10 +61,9 @@ def assign(frame: DataFrame, found: DataFrame, start: str = "target_start", bin_
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Regions numbered over all targets, by target and start. One row per region is sorted; the counts of earlier targets
-    come from one row per target."""
+    """Regions numbered over all targets, by target and start: a region's number within its target and the counts of the targets before, summed by ranges of target ids."""
     per = found.groupBy("target_id").agg(F.count("*").alias("k"))
-    before = per.select("target_id", F.coalesce(F.sum("k").over(W.orderBy("target_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = totals_before(per, "target_id", F.col("k"), name="base").select("target_id", "base")
     return found.join(before, "target_id").withColumn("region_id", (F.col("base") + F.col("region")).cast("long")).drop("base")
 
 
