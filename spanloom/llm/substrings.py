@@ -12,7 +12,7 @@ So a shard's automaton holds at most ``STATES`` states and one anchor's pieces m
 
 Defined results: words are set apart by ASCII white space, and unchanged; a null text has no words; a text shorter than a window keeps all of them; what repeats within one document stays; windows are judged on the
 input; a null id counts as 2^63 - 1, and rows of one id are one document as far as "earlier" goes; repeated rows are kept, each with its result; very long texts are worked ``CHUNK`` windows at a time; columns other
-than id and text are kept whatever their names; an empty table gives an empty result. Pieces are held equal if 128 bits of hashes are.
+than id and text are kept whatever their names; an empty table gives an empty result. Pieces are held equal if the hashes of their anchors and of their sequences are, 128 bits.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
@@ -56,24 +57,30 @@ def sequences(codes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def pieces(found: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(found: list[bytes], length: int, bodies: bool = True) -> tuple[np.ndarray, ...]:
     """(first word, windows, anchor, hash of all words) of a text's pieces."""
-    codes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    small = sequences(codes, min(ANCHOR, length))
-    wide = length - min(ANCHOR, length) + 1
-    windows = len(codes) - length + 1
-    at = np.concatenate([sliding_window_view(small[i : min(i + CHUNK, windows) + wide - 1], wide).argmin(axis=1) + np.arange(i, min(i + CHUNK, windows)) for i in range(0, windows, CHUNK)])
+    codes = pd.util.hash_array(np.array(found, object), categorize=False)
+    k = min(ANCHOR, length)
+    small, wide, windows = sequences(codes, k), length - k + 1, len(codes) - length + 1
+    at = np.empty(windows, np.int64)
+    for i in range(0, windows, CHUNK):
+        stop = min(i + CHUNK, windows)
+        np.argmin(sliding_window_view(small[i : stop + wide - 1], wide), axis=1, out=at[i:stop])
+        at[i:stop] += np.arange(i, stop)
     start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     n = np.diff(np.append(start, windows))
-    # A piece's hash: of the hashes of its windows' word sequences, each by its place in the piece.
-    whole = sequences(mixed(codes), length)
-    place = np.arange(windows) - np.repeat(start, n)
-    body = np.add.reduceat(whole * MIX[place % 64] + mixed(place.astype(np.uint64) + np.uint64(1)), start)
-    return start, n, small[at[start]], mixed(body)
-
-
-def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """own, key, at, n, anchor, body: a row for each piece of each text. docs: (own, key, text)."""
+    anchor = small[at[start]]
+    if not bodies:
+        return start, n, anchor, anchor
+    # A piece is shorter than two windows, so its first and its last window have all its words, and sequences that lie side by side have a window's.
+    body = n.astype(np.uint64) * MIX[63]
+    for i, o in enumerate([*range(0, length - k, k), length - k]):
+        body += small[start + o] * MIX[i] + small[start + (n - 1 + o)] * MIX[i + 31]
+    return start, n, anchor, mixed(body)
+
+
+def occurrences(docs: DataFrame, length: int, bodies: bool = True) -> DataFrame:
+    """own, key, at, n, anchor, body: a row for each piece of each text; body only where ``bodies`` are asked for. docs: (own, key, text)."""
     names = ["own", "key", "at", "n", "anchor", "body"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +90,7 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                 found = words(text.as_py())
                 if len(found) < length:
                     continue
-                at, n, anchor, body = pieces(found, length)
+                at, n, anchor, body = pieces(found, length, bodies)
                 for c, x in zip(columns, (np.full(len(at), own), np.full(len(at), key, np.int32), at.astype(np.int32), n.astype(np.int32), anchor.view(np.int64), body.view(np.int64))):
                     c.append(x)
             if columns[0]:
@@ -238,7 +245,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, length
 
     def shared() -> DataFrame:
         """The pieces around anchors of several documents. The anchors are stored first: a join that reads them beside the pieces can split the tasks of frequent ones."""
-        ends = occurrences(own, length).groupBy("anchor").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("anchor")
+        ends = occurrences(own, length, bodies=False).groupBy("anchor").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("anchor")
         several = store(ends, "anchors")
         del ends
         free()
