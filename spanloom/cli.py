@@ -55,13 +55,14 @@ def main(argv: list[str] | None = None) -> int:
     alignments = readers.read_alignments(spark, args.alignments)
     repeats = None if args.repeats is None else readers.read_repeats(spark, args.repeats)
     bed = None if args.viz_ref_bed is None or not args.viz else checked(readers.read_bed(spark, args.viz_ref_bed))
-    found = adjudicate.annotations(alignments, readers.read_matrices(spark, args.matrices), repeats, chosen, detail=pages)
+    found = adjudicate.outputs(alignments, readers.read_matrices(spark, args.matrices), repeats, chosen, detail=pages)
     if pages:
         found = found.persist()  # the annotations and both kinds of pages come from one run
+    annotations = adjudicate.as_annotations(found)
     if args.out is not None:
-        sinks.write_text(found, args.out)
+        sinks.write_text(annotations, args.out)
     else:
-        for row in sinks.text_lines(found).toLocalIterator():
+        for row in sinks.text_lines(annotations).toLocalIterator():
             print(row["line"])
     if pages:
         with_ids, known = adjudicate.with_ids(alignments, repeats)

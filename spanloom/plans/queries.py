@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import alphabet
 from ..operators import blocks, confidence, joins, kernel, regions, runs, scores, segments
-from ..sources import readers
+from ..sources import readers, stored
 from . import view, views
-from .adjudicate import annotations, located, with_ids
+from .adjudicate import annotations, located, outputs, with_ids
 from .views import aln, sql, table
 
 DISTANCE = 3  # days
@@ -517,7 +516,8 @@ def alignments(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def adjudicate(spark: SparkSession, d: str) -> DataFrame:
-    return annotations(alignments(spark, d), {"m": MATRIX}, settings=SETTINGS)
+    """Alignments and repeats together."""
+    return annotations(alignments(spark, d), {"m": MATRIX}, repeats(spark, d), SETTINGS)
 
 
 def _grouped(spark: SparkSession, d: str, schema: str, work: Callable) -> DataFrame:
@@ -576,23 +576,24 @@ def mini_dp(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d, "target_id long, ord long, piece_start long, piece_end long", work)
 
 
-def _rounds(spark: SparkSession, d: str) -> DataFrame:
-    kind = "array<struct<segments:array<array<bigint>>,resolved:array<bigint>,unresolved:array<bigint>,competed:array<bigint>>>"
-    found = annotations(alignments(spark, d), {"m": MATRIX}, settings=SETTINGS, rounds=True).where("rounds is not null")
-    return found.select("region_id", F.posexplode(F.from_json("rounds", kind)).alias("round", "r"))
+def _run(spark: SparkSession, d: str, **what: bool) -> DataFrame:
+    """The typed rows of one run over alignments and repeats, stored."""
+    return stored.store(outputs(alignments(spark, d), {"m": MATRIX}, repeats(spark, d), settings=SETTINGS, **what), "run")
 
 
 @query()
 def viterbi_path(spark: SparkSession, d: str) -> DataFrame:
     """Segments of the best path of each round."""
-    s = _rounds(spark, d).select("region_id", "round", F.explode("r.segments").alias("s"))
-    return s.select("region_id", "round", *(F.get("s", F.lit(i)).alias(n) for i, n in enumerate(("row", "col_start", "col_end"))))
+    return _run(spark, d, rounds=True).where("kind = 'segment'").select("region_id", "round", "row", F.col("start").alias("col_start"), F.col("end").alias("col_end"))
 
 
 @query()
 def split_trace(spark: SparkSession, d: str) -> DataFrame:
     """What each round settles."""
-    return _rounds(spark, d).select("region_id", "round", F.size("r.segments").alias("n_segments"), *(F.array_join(F.transform(f"r.{k}", lambda x: x.cast("string")), ",").alias(k) for k in ("resolved", "unresolved", "competed")))
+    kinds = ("resolved", "unresolved", "competed")
+    rows = _run(spark, d, rounds=True).where(F.col("kind").isin("round", *kinds))
+    of = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("seq", "row")))), lambda x: x["row"].cast("string")), ",").alias(k)
+    return rows.groupBy("region_id", "round").agg(F.max(F.when(F.col("kind") == "round", F.col("seq"))).alias("n_segments"), *map(of, kinds))
 
 
 NOTED = sql("noted") + """, lengths AS (SELECT query_name, max(query_end) + 5 AS query_length FROM noted GROUP BY query_name),
@@ -623,35 +624,32 @@ def bed_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, d: str) -> DataFrame:
-    """Events as tandem repeats of the targets that have alignments, one for each target and day."""
-    r = views.repeats(spark, d).groupBy("target_id", "target_start", "target_end").agg(F.min("repeat_id").alias("repeat_id"), F.min("period").alias("period"))
+    """Events as tandem repeats; those of a target without alignments have no place, as there its name is unknown."""
+    r = views.repeats(spark, d)
     score = lambda i: F.pmod(F.col("repeat_id") + i, F.lit(5)).cast("double")
     named = r.select("repeat_id", F.col("target_id").cast("string").alias("target_name"), "target_start", "target_end", F.lit("AT").alias("consensus"), "period", F.array(*(score(i) for i in range(4))).alias("scores"))
     return named.join(aln(spark, d).select(F.col("target_id").cast("string").alias("target_name")).distinct(), "target_name", "left_semi")
 
 
-def _shown(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Annotations with detail, alignments with their regions, alignments."""
-    a, r = alignments(spark, d), repeats(spark, d)
-    return annotations(a, {"m": MATRIX}, r, settings=SETTINGS, detail=True), located(*with_ids(a, r), SETTINGS)[0], a
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments with their regions."""
+    return located(*with_ids(alignments(spark, d), repeats(spark, d)), SETTINGS)[0]
 
 
 @query()
 def viewer_payload(spark: SparkSession, d: str) -> DataFrame:
-    found, placed, a = _shown(spark, d)
     bed = views.bed(spark, d).select(F.col("chrom").cast("string").alias("chrom"), "chrom_start", "chrom_end", F.col("chrom_start").alias("thick_start"), F.col("chrom_end").alias("thick_end"), F.col("o_orderkey").cast("string").alias("name"), F.lit("+").alias("strand"))
-    return view.region_payloads(found, placed, readers.query_lengths(a), bed)
+    return view.region_payloads(_run(spark, d, detail=True), _placed(spark, d), readers.query_lengths(alignments(spark, d)), bed)
 
 
 @query()
 def assembly_payload(spark: SparkSession, d: str) -> DataFrame:
-    found, placed, _ = _shown(spark, d)
-    return view.assembly_payloads(found, placed, DISTANCE)
+    return view.assembly_payloads(_run(spark, d, detail=True), _placed(spark, d), DISTANCE)
 
 
 @query()
 def row_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return view.row_confidences(_shown(spark, d)[0])
+    return view.row_confidences(_run(spark, d, detail=True))
 
 
 @query(sql("aln") + f""", rows AS (

@@ -72,16 +72,18 @@ def test_unsorted_reference_is_refused(spark, files):
 
 
 def test_pages_before_and_after(spark):
-    shown = {"target_sequence": "A", "repeats": [], "rounds": [], "assemblies": [
-        {"row": i, "start": 1, "end": 5, "query_id": q, "strand": "+", "members": [{"ali_id": i, "start": 1, "end": 5, "query_start": 2, "query_end": 6, "confidence": 0.5}]} for i, q in enumerate((4, 7, 9, 11))]}
-    found = spark.createDataFrame([(0, json.dumps(shown))], "region_id long, rounds string")
+    rows = []
+    for i, q in enumerate((4, 7, 9, 11)):
+        rows.append(("assembly", 0, i, i, 1, 5, q, None, None, "+", None, None))
+        rows.append(("member", 0, 0, i, 1, 5, None, 2, 6, None, 0.5, i))
+    found = spark.createDataFrame(rows, "kind string, region_id long, seq int, row long, start long, end long, query_id long, query_start long, query_end long, strand string, confidence double, ali_id long")
     none = spark.createDataFrame([], "region_id long, query_id long, strand string, target_start long, target_end long, query_start long, query_end long, ali_id long")
     got = {r.query_id: json.loads(r.payload) for r in view.assembly_payloads(found, none, 5).collect()}
     assert {q: (p["prev"], p["next"]) for q, p in got.items()} == {4: (11, 7), 7: (11, 9), 9: (7, 11), 11: (9, 4)}
 
 
 def test_row_confidences_and_domain(spark, files):
-    found = adjudicate.run(spark, str(files / "a.caf"), str(files / "m.txt"), None, detail=True)
+    found = adjudicate.outputs(readers.read_alignments(spark, str(files / "a.caf")), readers.read_matrices(spark, str(files / "m.txt")), detail=True)
     rows = {(r.region_id, r.row): r for r in view.row_confidences(found).collect()}
     assert len(rows) == 3 and all(0 < r.max_conf <= 1 for r in rows.values()) and any(r.in_trace for r in rows.values())
     assert view.in_domain(spark.createDataFrame([(1, 5), (5, 9), (9, 12)], "start long, end long"), 5, 9).count() == 1
