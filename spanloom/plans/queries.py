@@ -13,7 +13,7 @@ from ..functions import alphabet
 from ..operators import blocks, confidence, joins, kernel, regions, runs, scores, segments
 from ..sources import readers, stored
 from . import view, views
-from .adjudicate import annotations, located, outputs, with_ids
+from .adjudicate import annotations, placed, worked
 from .views import aln, sql, table
 
 DISTANCE = 3  # days
@@ -40,9 +40,9 @@ ISLANDS = sql("aln") + f""", reach AS (
   LEFT JOIN aln b ON a.target_id = b.target_id AND a.query_id = b.query_id AND a.strand = b.strand AND b.ord > a.ord AND b.target_start - a.target_end <= {DISTANCE}
   GROUP BY a.target_id, a.ord, a.target_start, a.target_end
 ), marked AS (
-  SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY target_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM reach
+  SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY target_id ORDER BY s, e, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM reach
 ), numbered AS (
-  SELECT *, sum(brk) OVER (PARTITION BY target_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) - 1 AS region FROM marked
+  SELECT *, sum(brk) OVER (PARTITION BY target_id ORDER BY s, e, ord ROWS UNBOUNDED PRECEDING) - 1 AS region FROM marked
 ), found AS (
   SELECT target_id, CAST(region AS BIGINT) AS region, min(s) AS region_start, max(e) AS region_end, count(*) AS n FROM numbered GROUP BY target_id, region
 )"""
@@ -60,7 +60,7 @@ def region_number(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ISLANDS + " SELECT target_id, ord, CAST(region AS BIGINT) AS region FROM numbered")
 def assign_region(spark: SparkSession, d: str) -> DataFrame:
-    a = aln(spark, d)
+    a = stored.store(aln(spark, d).select("target_id", "ord", "query_id", "strand", "target_start", "target_end"), "aln")
     return regions.assign(a, regions.regions(a, DISTANCE)).select("target_id", "ord", "region")
 
 
@@ -239,7 +239,7 @@ def ghost_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     return segments.carry_forward(p, ["vec_id"], "pos", "v").select("vec_id", "pos", "carried")
 
 
-PIECES = sql("raw_aln") + """, joined AS (SELECT DISTINCT target_id, query_id, target_start // 200 AS part, target_start, target_end FROM raw_aln WHERE strand = '+'),
+PIECES = sql("raw_aln") + """, joined AS (SELECT DISTINCT target_id, query_id * 2 + CAST(strand = '-' AS BIGINT) AS query_id, target_start // 200 AS part, target_start, target_end FROM raw_aln),
 marked AS (SELECT *, max(target_end) OVER (PARTITION BY target_id, query_id, part ORDER BY target_start, target_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM joined),
 runs AS (SELECT *, sum(CASE WHEN before IS NULL OR target_start > before THEN 1 ELSE 0 END) OVER (PARTITION BY target_id, query_id, part ORDER BY target_start, target_end ROWS UNBOUNDED PRECEDING) AS run FROM marked),
 frags AS MATERIALIZED (SELECT target_id, part, query_id, min(target_start) AS s, max(target_end) AS e FROM runs GROUP BY target_id, part, query_id, run),
@@ -248,8 +248,9 @@ asm AS MATERIALIZED (SELECT target_id, part, query_id, min(s) AS first, max(e) A
 
 
 def _assemblies(spark: SparkSession, d: str) -> DataFrame:
-    """Forward alignments of one query within a stretch of a target play the fragments of an assembly."""
-    a = aln(spark, d).where("strand = '+'").select("target_id", F.floor(F.col("target_start") / 200).alias("part"), "query_id", F.col("target_start").alias("start"), F.col("target_end").alias("end"))
+    """Alignments of one query and strand within a stretch of a target play the fragments of an assembly."""
+    own = (F.col("query_id") * 2 + (F.col("strand") == "-").cast("long")).alias("query_id")
+    a = aln(spark, d).select("target_id", F.floor(F.col("target_start") / 200).alias("part"), own, F.col("target_start").alias("start"), F.col("target_end").alias("end"))
     frags = regions.islands(a.distinct(), ["target_id", "part", "query_id"], "start", "end").drop("n")
     return joins.fragments_and_gaps(frags, ["target_id", "part", "query_id"])
 
@@ -400,10 +401,10 @@ def caf_decode(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql("bed") + """ SELECT o_orderkey, chrom_start + 1 AS left_start, chrom_start + 1 AS left_end, chrom_start + 2 AS first_start, chrom_start + 2 AS first_end, chrom_start + 3 AS inner_start, chrom_start + 3 AS inner_end,
-  chrom_start + 4 AS last_start, chrom_end - 1 AS last_end, chrom_end AS right_start, chrom_end AS right_end FROM bed WHERE chrom_end - chrom_start >= 5""")
+  chrom_start + 4 AS last_start, chrom_end + 1 AS last_end, chrom_end + 2 AS right_start, chrom_end + 2 AS right_end FROM bed""")
 def block_group_bed(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as records of five blocks: an unaligned end, an aligned base, an inner base, the rest, an unaligned end."""
-    b = views.bed(spark, d).where("chrom_end - chrom_start >= 5")
+    """Orders as records of five blocks, two days longer than they are so that even the shortest has all: an unaligned end, an aligned base, an inner base, the rest, an unaligned end."""
+    b = views.bed(spark, d).withColumn("chrom_end", F.col("chrom_end") + 2)
     n = F.col("chrom_end") - F.col("chrom_start")
     sizes = F.array(*(x.cast("long") for x in (F.lit(1), F.lit(1), F.lit(0), n - 4, F.lit(1))))
     starts = F.array(*(F.lit(x).cast("long") for x in (-1, 1, -1, 3, -1)))
@@ -452,7 +453,7 @@ CHAIN = sql("aln", "rep") + f""", reach AS (
 ), found AS MATERIALIZED (
   SELECT target_id * 1000000 + row_number() OVER (PARTITION BY target_id ORDER BY min(s)) - 1 AS region_id, target_id, min(s) AS low, max(e) AS high FROM (
     SELECT *, sum(brk) OVER (PARTITION BY target_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM (
-      SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY target_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM reach)) GROUP BY target_id, k
+      SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY target_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS brk FROM (SELECT DISTINCT * FROM reach))) GROUP BY target_id, k
 ), placed AS (
   SELECT region_id, a.target_id * 10000000 + ord AS id, ord, query_id, target_start, unnest(range(target_start, target_end + 1)) AS col FROM aln a JOIN found f ON a.target_id = f.target_id AND a.target_start BETWEEN low AND high
 ), lettered AS (
@@ -576,22 +577,24 @@ def mini_dp(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(spark, d, "target_id long, ord long, piece_start long, piece_end long", work)
 
 
-def _run(spark: SparkSession, d: str, **what: bool) -> DataFrame:
-    """The typed rows of one run over alignments and repeats, stored."""
-    return stored.store(outputs(alignments(spark, d), {"m": MATRIX}, repeats(spark, d), settings=SETTINGS, **what), "run")
+def _run(spark: SparkSession, d: str, **what: bool) -> tuple[DataFrame, DataFrame]:
+    """The typed rows of one run over alignments and repeats, and the alignments with their regions; both stored."""
+    a, r = placed(alignments(spark, d), {"m": MATRIX}, repeats(spark, d), SETTINGS)
+    a = stored.store(a, "placed")
+    return stored.store(worked(a, r, {"m": MATRIX}, SETTINGS, **what), "run"), a
 
 
 @query()
 def viterbi_path(spark: SparkSession, d: str) -> DataFrame:
     """Segments of the best path of each round."""
-    return _run(spark, d, rounds=True).where("kind = 'segment'").select("region_id", "round", "row", F.col("start").alias("col_start"), F.col("end").alias("col_end"))
+    return _run(spark, d, rounds=True)[0].where("kind = 'segment'").select("region_id", "round", "row", F.col("start").alias("col_start"), F.col("end").alias("col_end"))
 
 
 @query()
 def split_trace(spark: SparkSession, d: str) -> DataFrame:
     """What each round settles."""
     kinds = ("resolved", "unresolved", "competed")
-    rows = _run(spark, d, rounds=True).where(F.col("kind").isin("round", *kinds))
+    rows = _run(spark, d, rounds=True)[0].where(F.col("kind").isin("round", *kinds))
     of = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("seq", "row")))), lambda x: x["row"].cast("string")), ",").alias(k)
     return rows.groupBy("region_id", "round").agg(F.max(F.when(F.col("kind") == "round", F.col("seq"))).alias("n_segments"), *map(of, kinds))
 
@@ -631,25 +634,21 @@ def repeats(spark: SparkSession, d: str) -> DataFrame:
     return named.join(aln(spark, d).select(F.col("target_id").cast("string").alias("target_name")).distinct(), "target_name", "left_semi")
 
 
-def _placed(spark: SparkSession, d: str) -> DataFrame:
-    """Alignments with their regions."""
-    return located(*with_ids(alignments(spark, d), repeats(spark, d)), SETTINGS)[0]
-
-
 @query()
 def viewer_payload(spark: SparkSession, d: str) -> DataFrame:
     bed = views.bed(spark, d).select(F.col("chrom").cast("string").alias("chrom"), "chrom_start", "chrom_end", F.col("chrom_start").alias("thick_start"), F.col("chrom_end").alias("thick_end"), F.col("o_orderkey").cast("string").alias("name"), F.lit("+").alias("strand"))
-    return view.region_payloads(_run(spark, d, detail=True), _placed(spark, d), readers.query_lengths(alignments(spark, d)), bed)
+    found, a = _run(spark, d, detail=True)
+    return view.region_payloads(found, a, readers.query_lengths(a), bed)
 
 
 @query()
 def assembly_payload(spark: SparkSession, d: str) -> DataFrame:
-    return view.assembly_payloads(_run(spark, d, detail=True), _placed(spark, d), DISTANCE)
+    return view.assembly_payloads(*_run(spark, d, detail=True), DISTANCE)
 
 
 @query()
 def row_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return view.row_confidences(_run(spark, d, detail=True))
+    return view.row_confidences(_run(spark, d, detail=True)[0])
 
 
 @query(sql("aln") + f""", rows AS (
