@@ -12,6 +12,7 @@ from .config import Settings
 from .plans import adjudicate, view
 from .session import builder
 from .sources import readers, sinks
+from .sources.pages import write_pages
 
 
 def parser() -> argparse.ArgumentParser:
@@ -68,9 +69,9 @@ def main(argv: list[str] | None = None) -> int:
         with_ids, known = adjudicate.with_ids(alignments, repeats)
         located, _ = adjudicate.located(with_ids, known, chosen)
         if args.viz:
-            sinks.write_pages(sinks.pages(view.region_payloads(found, located, readers.query_lengths(alignments), bed)), f"{args.viz_out.rstrip('/')}/regions")
+            write_pages(sinks.pages(view.region_payloads(found, located, readers.query_lengths(alignments), bed)), f"{args.viz_out.rstrip('/')}/regions")
         if args.assembly_viz:
-            sinks.write_pages(sinks.pages(view.assembly_payloads(found, located, chosen.target_join_distance)), f"{args.viz_out.rstrip('/')}/assemblies")
+            write_pages(sinks.pages(view.assembly_payloads(found, located, chosen.target_join_distance)), f"{args.viz_out.rstrip('/')}/assemblies")
         found.unpersist()
     return 0
 

@@ -367,6 +367,30 @@ def domain_filter(spark: SparkSession, d: str) -> DataFrame:
     return view.in_domain(aln(spark, d), 1000, 2000, "target_start", "target_end").select("target_id", "ord", "target_start", "target_end")
 
 
+@query(sql("bases") + """, texts AS (SELECT doc_id, doc_id * 7 AS s, doc_id * 7 + count(*) - 1 AS e, string_agg(substr('ACGT', CAST(code AS INTEGER) + 1, 1), '' ORDER BY pos) AS letters FROM bases GROUP BY doc_id
+), cut AS (SELECT *, unnest(range(CAST(ceil(length(letters) / 1000.0) AS BIGINT))) AS k FROM texts),
+pieces AS (SELECT doc_id, s, e, k, s + k * 1000 AS low, least(e + 1, s + k * 1000 + 1000) AS high, substr(letters, CAST(k * 1000 + 1 AS BIGINT), 1000) AS letters FROM cut),
+seen AS (SELECT doc_id, s + doc_id * 37 % (e - s + 1) AS a, s + doc_id * 37 % (e - s + 1) + 50 + doc_id * 53 % 400 AS b FROM texts)
+SELECT doc_id, s - 500 AS axis_start, e AS axis_end, CAST(k AS INTEGER) AS chunk, low AS start, high AS "end", letters AS sequence FROM pieces JOIN seen USING (doc_id) WHERE b - a < 300 AND low < b AND high > a""")
+def viewer_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """The letters of each text as a region's sequence, in chunks, and what one window for each shows of them: nothing where it is 300 wide or more."""
+    bases = views.bases(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: F.substring(F.lit("ACGT"), x["code"].cast("int") + 1, F.lit(1))), "").alias("target_sequence"))
+    texts = bases.withColumn("start", F.col("doc_id") * 7).withColumn("end", F.col("start") + F.length("target_sequence") - 1)
+    low = F.col("start") + F.col("doc_id") * 37 % F.length("target_sequence")
+    windows = texts.select("doc_id", low.alias("low"), (low + 50 + F.col("doc_id") * 53 % 400).alias("high"))
+    shown = view.letters_in(view.chunks(texts, ["doc_id"]), windows, ["doc_id"]).drop("low", "high")
+    return shown.join(view.axes(texts, ["doc_id"]), "doc_id").select("doc_id", "axis_start", "axis_end", "chunk", "start", "end", "sequence")
+
+
+@query("""SELECT user_id AS region_id, CAST(event_id % 3 AS INTEGER) AS round, array_to_string(list_sort(list(DISTINCT length(event_type) + user_id % 4)), ',') AS rows FROM events WHERE event_type <> 'purchase' GROUP BY user_id, event_id % 3""")
+def viewer_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Events play what traces met in three rounds; purchases are of another kind."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "purchase", "segment").when(F.col("value") > 50, "ambiguous").otherwise("conclusive")
+    rows = e.select(kind.alias("kind"), F.col("user_id").alias("region_id"), (F.col("event_id") % 3).cast("int").alias("round"), (F.length("event_type") + F.col("user_id") % 4).alias("row"))
+    return view.rows_by_round(rows).withColumn("rows", F.array_join(F.transform("rows", lambda x: x.cast("string")), ","))
+
+
 @query(sql("aln") + """, w AS (SELECT *, max(length(CAST(target_start AS VARCHAR))) OVER (PARTITION BY target_id) AS a, max(length(CAST(target_end AS VARCHAR))) OVER (PARTITION BY target_id) AS b, max(length(CAST(query_id AS VARCHAR))) OVER (PARTITION BY target_id) AS c FROM aln)
 SELECT target_id, ord, lpad(CAST(target_start AS VARCHAR), CAST(a AS INTEGER), ' ') || ' ' || lpad(CAST(target_end AS VARCHAR), CAST(b AS INTEGER), ' ') || ' ' || rpad(CAST(query_id AS VARCHAR), CAST(c AS INTEGER), ' ') || ' ' || strand || ' ' || printf('%5.3f', score / 100.0) AS line FROM w""")
 def annotation_text(spark: SparkSession, d: str) -> DataFrame:

@@ -51,8 +51,3 @@ def pages(payloads: DataFrame, title: str = "title", payload: str = "payload", t
     safe = F.replace(F.col(payload), F.lit("</"), F.lit("<\\/"))
     out = F.replace(F.lit(template), F.lit("{script}"), F.lit(script))
     return payloads.withColumn("html", F.replace(F.replace(out, F.lit("{title}"), F.col(title)), F.lit("{data}"), safe))
-
-
-def write_pages(found: DataFrame, path: str, title: str = "title") -> None:
-    """One folder ``title=...`` with one page in it for each row of ``pages``."""
-    found.select(F.col(title).alias("title"), "html").write.partitionBy("title").option("lineSep", "\n\n").text(path)

@@ -51,17 +51,18 @@ def test_command(spark, files, capsys):
     assert len(printed) == len(want) and {x.split()[0] for x in printed} == {"chr1", "chr2"}
     data = {}
     for kind in ("regions", "assemblies"):
-        for f in sorted((out / kind).glob("title=*/part-*")):
-            data.setdefault(kind, {})[f.parent.name] = json.loads(re.search(r'type="application/json">(.*?)</script>', f.read_text(), re.S)[1])
-    one = data["regions"]["title=chr1-0-100-355"]
+        assert (out / kind / "_SUCCESS").exists() and not list((out / kind).glob(".*"))
+        for f in sorted((out / kind).glob("*.html")):
+            data.setdefault(kind, {})[f.stem] = json.loads(re.search(r'type="application/json">(.*?)</script>', f.read_text(), re.S)[1])
+    one = data["regions"]["chr1-0-100-355"]
     assert one["target_sequence"][:8] == BODY[:8] and len(one["target_sequence"]) >= 256 and [x["name"] for x in one["reference"]] == ["x"] and len(one["repeats"]) == 1
     assert {len(a["members"]) for a in one["assemblies"]} == {1, 2} and one["rounds"][0]["confidence"]
     for r in one["rounds"]:
         assert set(r) == {"conclusive", "ambiguous", "inactive", "resolved", "unresolved", "competed", "confidence"}
-    page = data["assemblies"]["title=0-1-fwd"]
+    page = data["assemblies"]["0-1-fwd"]
     assert (page["target_start"], page["target_end"], page["consensus_start"], page["consensus_end"]) == (100, 355, 1, 205)
     assert [(x["from"], x["to"], x["start"], x["end"]) for x in page["links"]] == [(1, 2, 147, 307), (2, 1, 307, 147)] and len(page["assemblies"][0]["target"]) == 2
-    assert (page["prev"], page["next"], page["suffix"]) == (2, 2, "fwd") and data["assemblies"]["title=1-3-rev"]["consensus_end"] == 96
+    assert (page["prev"], page["next"], page["suffix"]) == (2, 2, "fwd") and data["assemblies"]["1-3-rev"]["consensus_end"] == 96
 
 
 def test_unsorted_reference_is_refused(spark, files):
