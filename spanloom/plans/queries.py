@@ -461,7 +461,7 @@ def written(spark: SparkSession, d: str) -> DataFrame:
 
 def scored_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Alignments with codes and repeats, each with its region."""
-    a, r = written(spark, d), views.repeats(spark, d)
+    a, r = written(spark, d), views.spread(spark, d)
     found = regions.regions(a, DISTANCE, r.select("target_id", "target_start", "target_end"))
     own = (F.col("target_id") * 1_000_000 + F.col("region")).alias("region_id")
     codes = alphabet.decode(F.col("text"))
@@ -470,10 +470,10 @@ def scored_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return placed, regions.assign(r, found).select(own, "repeat_id", "target_start", "target_end", F.array(*(score(i) for i in range(4))).alias("scores"))
 
 
-CHAIN = sql("aln", "rep") + f""", reach AS (
+CHAIN = sql("aln", "spread") + f""", reach AS (
   SELECT a.target_id, a.target_start AS s, greatest(a.target_end, coalesce(max(b.target_end), 0)) AS e FROM aln a
   LEFT JOIN aln b ON a.target_id = b.target_id AND a.query_id = b.query_id AND a.strand = b.strand AND b.ord > a.ord AND b.target_start - a.target_end <= {DISTANCE} GROUP BY a.target_id, a.ord, a.target_start, a.target_end
-  UNION ALL SELECT target_id, target_start, target_end FROM rep
+  UNION ALL SELECT target_id, target_start, target_end FROM spread
 ), found AS MATERIALIZED (
   SELECT target_id * 1000000 + row_number() OVER (PARTITION BY target_id ORDER BY min(s)) - 1 AS region_id, target_id, min(s) AS low, max(e) AS high FROM (
     SELECT *, sum(brk) OVER (PARTITION BY target_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM (
@@ -506,7 +506,7 @@ around AS (
   UNION ALL
   SELECT region_id, 'rep', repeat_id, target_start + i, CASE WHEN i = 0 THEN 0 ELSE list_sum([x[j + 1] FOR j IN range(0, 4) IF j + 2 < 5]) + coalesce(list_sum([x[j + 1] FOR j IN range(0, 4) IF j + 2 BETWEEN 6 AND i + 5]), 0)
            - coalesce(list_sum([x[j + 1] FOR j IN range(0, 4) IF j + 2 < i]), 0) END
-  FROM (SELECT f.region_id, repeat_id, target_start, [(repeat_id + j) % 5 FOR j IN range(0, 4)] AS x, unnest(range(0, 4)) AS i FROM rep r JOIN found f ON r.target_id = f.target_id AND r.target_start BETWEEN low AND high)
+  FROM (SELECT f.region_id, repeat_id, target_start, [(repeat_id + j) % 5 FOR j IN range(0, 4)] AS x, unnest(range(0, 4)) AS i FROM spread r JOIN found f ON r.target_id = f.target_id AND r.target_start BETWEEN low AND high)
 ), shared AS (SELECT *, power(2.0::DOUBLE, score) / (1024.0 + sum(power(2.0::DOUBLE, score)) OVER (PARTITION BY region_id, col)) AS conf FROM windows),
 smoothed AS (SELECT region_id, kind, id, col, conf, avg(conf) OVER (PARTITION BY region_id, kind, id ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM shared)"""
 
@@ -652,7 +652,7 @@ def bed_export(spark: SparkSession, d: str) -> DataFrame:
 
 def repeats(spark: SparkSession, d: str) -> DataFrame:
     """Events as tandem repeats; those of a target without alignments have no place, as there its name is unknown."""
-    r = views.repeats(spark, d)
+    r = views.spread(spark, d)
     score = lambda i: F.pmod(F.col("repeat_id") + i, F.lit(5)).cast("double")
     named = r.select("repeat_id", F.col("target_id").cast("string").alias("target_name"), "target_start", "target_end", F.lit("AT").alias("consensus"), "period", F.array(*(score(i) for i in range(4))).alias("scores"))
     return named.join(aln(spark, d).select(F.col("target_id").cast("string").alias("target_name")).distinct(), "target_name", "left_semi")

@@ -55,11 +55,14 @@ SQL["rep"] = """rep AS (
   SELECT event_id AS repeat_id, user_id % 100 + 1 AS target_id, CAST(date_diff('day', DATE '1992-01-01', CAST(ts AS DATE)) AS BIGINT) AS target_start,
          CAST(date_diff('day', DATE '1992-01-01', CAST(ts AS DATE)) AS BIGINT) + 3 AS target_end, length(event_type) AS period FROM events
 )"""
+SQL["spread"] = """spread AS (
+  SELECT repeat_id, target_id, repeat_id * 37 % 2500 AS target_start, repeat_id * 37 % 2500 + 3 AS target_end, period FROM rep
+)"""
 SQL["noted"] = """noted AS (
   SELECT target_id AS region_id, query_id * 2 + CAST(strand = '-' AS BIGINT) AS join_id, CAST(target_id AS VARCHAR) AS target_name, 'q' || CAST(query_id AS VARCHAR) AS query_name,
          strand, target_start, target_end, query_start, query_end, score / 64.0::DOUBLE AS confidence FROM aln
 )"""
-NEEDS = {"noted": ("aln",), "aln": ("raw_aln",), "cells": ("aln",), "scored": ("cells",), "confident": ("scored",)}
+NEEDS = {"spread": ("rep",), "noted": ("aln",), "aln": ("raw_aln",), "cells": ("aln",), "scored": ("cells",), "confident": ("scored",)}
 
 
 def sql(*names: str) -> str:
@@ -150,6 +153,12 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same repeats over the days that alignments have."""
+    start = F.col("repeat_id") * 37 % 2500
+    return repeats(spark, sf_dir).withColumns({"target_start": start, "target_end": start + 3})
+
+
 def noted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments play annotations: a target is a region, and what it has of one query and strand is one join."""
     return aln(spark, sf_dir).select(
