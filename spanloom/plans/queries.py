@@ -461,13 +461,14 @@ def written(spark: SparkSession, d: str) -> DataFrame:
 
 def scored_regions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Alignments with codes and repeats, each with its region."""
-    a, r = written(spark, d), views.spread(spark, d)
-    found = regions.regions(a, DISTANCE, r.select("target_id", "target_start", "target_end"))
+    a, r = stored.store(written(spark, d), "written"), views.spread(spark, d)
+    found = stored.store(regions.regions(a, DISTANCE, r.select("target_id", "target_start", "target_end")), "regions")
     own = (F.col("target_id") * 1_000_000 + F.col("region")).alias("region_id")
     codes = alphabet.decode(F.col("text"))
     score = lambda i: F.pmod(F.col("repeat_id") + i, F.lit(5)).cast("double")
     placed = regions.assign(a, found).select(own, "target_id", "query_id", "strand", "target_start", "target_end", (F.col("target_id") * 10_000_000 + F.col("ord")).alias("ali_id"), "matrix", codes["target"].alias("target_codes"), codes["query"].alias("query_codes"))
-    return placed, regions.assign(r, found).select(own, "repeat_id", "target_start", "target_end", F.array(*(score(i) for i in range(4))).alias("scores"))
+    reps = regions.assign(r, found).select(own, "repeat_id", "target_start", "target_end", F.array(*(score(i) for i in range(4))).alias("scores"))
+    return stored.store(placed, "placed"), stored.store(reps, "reps")
 
 
 CHAIN = sql("aln", "spread") + f""", reach AS (
@@ -542,7 +543,12 @@ def alignments(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def adjudicate(spark: SparkSession, d: str) -> DataFrame:
     """Alignments and repeats together."""
-    return annotations(alignments(spark, d), {"m": MATRIX}, repeats(spark, d), SETTINGS)
+    return annotations(*_tables(spark, d), SETTINGS)
+
+
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, readers.Matrix], DataFrame]:
+    """Alignments, matrices and repeats as readers would give them; the views are stored, as much is asked of them."""
+    return stored.store(alignments(spark, d), "alignments"), {"m": MATRIX}, stored.store(repeats(spark, d), "repeats")
 
 
 def _grouped(spark: SparkSession, d: str, schema: str, work: Callable) -> DataFrame:
@@ -603,7 +609,7 @@ def mini_dp(spark: SparkSession, d: str) -> DataFrame:
 
 def _run(spark: SparkSession, d: str, **what: bool) -> tuple[DataFrame, DataFrame]:
     """The typed rows of one run over alignments and repeats, and the alignments with their regions; both stored."""
-    a, r = placed(alignments(spark, d), {"m": MATRIX}, repeats(spark, d), SETTINGS)
+    a, r = placed(*_tables(spark, d), SETTINGS)
     a = stored.store(a, "placed")
     return stored.store(worked(a, r, {"m": MATRIX}, SETTINGS, **what), "run"), a
 
