@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import alphabet
 from ..operators import blocks, confidence, joins, kernel, regions, runs, scores, segments
-from ..sources import readers, stored
+from ..sources import readers, sinks, stored
 from . import view, views
 from .adjudicate import annotations, placed, worked
 from .views import aln, sql, table
@@ -191,7 +191,7 @@ def edge_min(spark: SparkSession, d: str) -> DataFrame:
     return joins.lightest_edge(joins.colinear_edges(aln(spark, d), DISTANCE * 10, keys), keys).select("target_id", "src", "weight", "dst")
 
 
-@query(sql("trace") + """, marked AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS brk FROM trace WINDOW w AS (PARTITION BY user_id ORDER BY step)),
+@query(sql("trace") + """, marked AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type AND lag(step) OVER w + 1 = step THEN 0 ELSE 1 END AS brk FROM trace WINDOW w AS (PARTITION BY user_id ORDER BY step)),
 runs AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS run FROM marked)
 SELECT user_id, event_type, min(step) AS col_start, max(step) AS col_end FROM runs GROUP BY user_id, run, event_type""")
 def trace_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -394,9 +394,14 @@ def viewer_rounds(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("aln") + """, w AS (SELECT *, max(length(CAST(target_start AS VARCHAR))) OVER (PARTITION BY target_id) AS a, max(length(CAST(target_end AS VARCHAR))) OVER (PARTITION BY target_id) AS b, max(length(CAST(query_id AS VARCHAR))) OVER (PARTITION BY target_id) AS c FROM aln)
 SELECT target_id, ord, lpad(CAST(target_start AS VARCHAR), CAST(a AS INTEGER), ' ') || ' ' || lpad(CAST(target_end AS VARCHAR), CAST(b AS INTEGER), ' ') || ' ' || rpad(CAST(query_id AS VARCHAR), CAST(c AS INTEGER), ' ') || ' ' || strand || ' ' || printf('%5.3f', score / 100.0) AS line FROM w""")
 def annotation_text(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.sinks import aligned
+    return sinks.aligned(aln(spark, d).withColumn("share", F.col("score") / 100), ["target_id"], [("target_start", "right"), ("target_end", "right"), ("query_id", "left"), ("strand", "left"), ("share", "share")]).select("target_id", "ord", "line")
 
-    return aligned(aln(spark, d).withColumn("share", F.col("score") / 100), ["target_id"], [("target_start", "right"), ("target_end", "right"), ("query_id", "left"), ("strand", "left"), ("share", "share")]).select("target_id", "ord", "line")
+
+@query(sql("noted") + """ SELECT region_id, join_id, concat_ws(' ', target_name, target_start, target_end, query_name, query_start, query_end, CASE WHEN target_start % 7 = 0 THEN '?' ELSE strand END, printf('%5.3f', confidence), join_id, region_id) AS line FROM noted""")
+def annotation_display(spark: SparkSession, d: str) -> DataFrame:
+    """An annotation by itself; some have no strand."""
+    a = views.noted(spark, d).withColumn("strand", F.when(F.col("target_start") % 7 != 0, F.col("strand")))
+    return sinks.displayed(a).select("region_id", "join_id", "line")
 
 
 @query(sql("aln") + """, spelled AS (

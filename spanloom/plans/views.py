@@ -43,7 +43,7 @@ SQL = {
       SELECT doc_id, string_split(regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g'), '') AS letters FROM documents) WHERE len(letters) > 0 AND letters[1] <> '')
 )""",
     "trace": """trace AS (
-  SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + (CAST(floor(value) AS BIGINT) % 2) * 0 AS step,
+  SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) // 5 AS step,
          CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, event_id FROM events
 )""",
     "bed": """bed AS (
@@ -135,8 +135,9 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user in order; the event type plays the row that owns a column."""
-    step = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    """Events of a user in order; the event type plays the row that owns a column, and every sixth column has none."""
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    step = (nth + F.floor(nth / 5)).cast("long")
     return table(spark, sf_dir, "events").select("user_id", "event_type", step.alias("step"), F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("hour"), "event_id")
 
 

@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def share(name: str) -> Column:
+    """Three decimals, ties to the even one."""
+    return F.format_string("%5.3f", F.bround(F.col(name).cast("double"), 3))
+
+
 def aligned(frame: DataFrame, keys: list[str], columns: list[tuple[str, str]]) -> DataFrame:
     """``frame`` with ``line``: the columns side by side, each as wide as its widest value within the key; numbers to the right, names to the
     left, shares with three decimals. A width never cuts a value."""
@@ -14,7 +19,7 @@ def aligned(frame: DataFrame, keys: list[str], columns: list[tuple[str, str]]) -
 
     def cell(name: str, side: str) -> Column:
         if side == "share":
-            return F.format_string("%5.3f", F.col(name).cast("double"))
+            return share(name)
         text = F.col(name).cast("string")
         width = F.max(F.length(text)).over(own)
         space = F.repeat(F.lit(" "), (width - F.length(text)).cast("int"))
@@ -29,6 +34,13 @@ ANNOTATION = [
 ]
 
 
+def displayed(annotations: DataFrame) -> DataFrame:
+    """``annotations`` with ``line``: one by itself, its columns apart by a space and no wider than they are; a strand that is not set is a question mark."""
+    values = {"share": share, "strand": lambda n: F.coalesce(F.col(n), F.lit("?"))}
+    cell = lambda n, side: values.get(n if n in values else side, lambda x: F.col(x).cast("string"))(n)
+    return annotations.withColumn("line", F.concat_ws(" ", *(cell(n, s) for n, s in ANNOTATION)))
+
+
 def text_lines(annotations: DataFrame) -> DataFrame:
     """One aligned line for each annotation, regions in order; widths are those of a region."""
     return aligned(annotations, ["region_id"], ANNOTATION).orderBy("region_id", "target_start", "join_id").select("line")
