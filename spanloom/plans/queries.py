@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import alphabet
-from ..operators import blocks, confidence, joins, kernel, regions, runs, scores, segments
+from ..operators import assemblies, blocks, confidence, joins, kernel, regions, runs, scores, segments
 from ..sources import readers, sinks, stored
 from . import view, views
 from .adjudicate import annotations, placed, worked
@@ -397,6 +397,60 @@ def annotation_text(spark: SparkSession, d: str) -> DataFrame:
     return sinks.aligned(aln(spark, d).withColumn("share", F.col("score") / 100), ["target_id"], [("target_start", "right"), ("target_end", "right"), ("query_id", "left"), ("strand", "left"), ("share", "share")]).select("target_id", "ord", "line")
 
 
+OWNED = sql("confident") + """, totals AS (SELECT target_id, col, 1024.0 / (1024.0 + sum(power(2.0::DOUBLE, score))) AS skip FROM scored GROUP BY target_id, col),
+first_ AS (SELECT target_id, query_id, col, min(ord) AS ord FROM cells GROUP BY target_id, query_id, col),
+extents AS (SELECT target_id, query_id, target_start // 50 AS part, min(target_start) AS low, max(target_end) AS high FROM aln GROUP BY ALL),
+owned AS (SELECT e.target_id, e.query_id, e.part, e.col, f.ord FROM (SELECT *, unnest(range(low, high + 1)) AS col FROM extents) e LEFT JOIN first_ f USING (target_id, query_id, col))"""
+
+
+@query(OWNED + """ SELECT o.target_id, o.query_id, o.part, o.col, o.ord, round(coalesce(c.conf, t.skip, 1.0), 9) AS conf FROM owned o LEFT JOIN confident c USING (target_id, col, ord) LEFT JOIN totals t USING (target_id, col)""")
+def copy_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The alignments of one query that begin within fifty days play an assembly; of those that cover a day the first owns it, and days between them are the skip row's."""
+    a = stored.store(aln(spark, d), "aln")
+    scored = stored.store(scores.softmax(views.waved(views.cells(a)), ["target_id", "col"]), "scored")
+    owner = views.cells(a).groupBy("target_id", "query_id", "col").agg(F.min("ord").alias("ord"))
+    extents = a.groupBy("target_id", "query_id", F.floor(F.col("target_start") / 50).alias("part")).agg(F.min("target_start").alias("low"), F.max("target_end").alias("high"))
+    owned = extents.select("target_id", "query_id", "part", F.explode(F.sequence("low", "high")).alias("col")).join(owner, ["target_id", "query_id", "col"], "left")
+    skip = scored.groupBy("target_id", "col").agg((1 - F.sum("conf")).alias("skip"))
+    out = assemblies.copy_fill(owned, scored, skip, ["target_id"], "col", ["ord"])
+    return out.select("target_id", "query_id", "part", "col", "ord", F.round(F.coalesce("conf", F.lit(1.0)), 9).alias("conf"))
+
+
+@query(sql("scored") + """, tied AS (SELECT target_id, col, ord, floor(score) AS score FROM scored)
+SELECT target_id, col, max(ord) AS last_row, min(ord) AS first_row, any_value(score) AS score FROM tied JOIN (SELECT target_id, col, max(score) AS score FROM tied GROUP BY target_id, col) USING (target_id, col, score) GROUP BY target_id, col""")
+def best_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The highest score of each column, with ties: the last row that has it, and the first."""
+    tied = views.scored(spark, d).select("target_id", "col", "ord", F.floor("score").cast("double").alias("score"))
+    last = assemblies.best(tied, ["target_id", "col"], "score", "ord").withColumnRenamed("ord", "last_row")
+    first = assemblies.best(tied, ["target_id", "col"], "score", "ord", last=False).select("target_id", "col", F.col("ord").alias("first_row"))
+    return last.join(first, ["target_id", "col"]).select("target_id", "col", "last_row", "first_row", "score")
+
+
+@query(sql("confident") + """, means AS (SELECT target_id, query_id, ord, avg(conf) AS mean FROM confident GROUP BY target_id, query_id, ord)
+SELECT target_id, query_id, count(*) AS members, round(avg(mean), 9) AS mean FROM means GROUP BY target_id, query_id""")
+def assembly_mean(spark: SparkSession, d: str) -> DataFrame:
+    c = scores.softmax(views.scored(spark, d), ["target_id", "col"])
+    means = scores.by_alignment(c, ["target_id", "query_id", "ord"], "conf")
+    return assemblies.member_means(means, ["target_id", "query_id"], "mean_conf").withColumn("mean", F.round("mean", 9))
+
+
+@query(sql("aln") + """ SELECT target_id, query_id, strand, count(*) AS members FROM aln a WHERE EXISTS (SELECT 1 FROM aln b WHERE a.target_id = b.target_id AND a.query_id = b.query_id AND a.strand = b.strand AND b.score >= 48)
+GROUP BY target_id, query_id, strand HAVING count(*) > 1""")
+def met_assemblies(spark: SparkSession, d: str) -> DataFrame:
+    """What has one target, query and strand plays an assembly, and alignments of a high score the trace."""
+    a, keys = aln(spark, d), ["target_id", "query_id", "strand"]
+    return assemblies.met(a, a.where("score >= 48"), keys)
+
+
+@query(sql("aln") + """, seen AS (SELECT target_id, strand, query_id, min(ord) AS nth FROM aln GROUP BY target_id, strand, query_id)
+SELECT target_id, strand, array_to_string(list(query_id ORDER BY nth), ',') AS met, array_to_string(list(query_id ORDER BY query_id), ',') AS sorted FROM seen GROUP BY target_id, strand""")
+def first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of each strand of a target, as they are first met and ascending."""
+    out = assemblies.first_seen(aln(spark, d), ["target_id", "strand"], "query_id", "ord")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("target_id", "strand", text("values").alias("met"), text("sorted").alias("sorted"))
+
+
 @query(sql("noted") + """ SELECT region_id, join_id, concat_ws(' ', target_name, target_start, target_end, query_name, query_start, query_end, CASE WHEN target_start % 7 = 0 THEN '?' ELSE strand END, printf('%5.3f', confidence), join_id, region_id) AS line FROM noted""")
 def annotation_display(spark: SparkSession, d: str) -> DataFrame:
     """An annotation by itself; some have no strand."""

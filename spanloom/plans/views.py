@@ -110,10 +110,14 @@ def cells(alignments: DataFrame) -> DataFrame:
     return alignments.select("target_id", "ord", "query_id", "score", F.explode(F.sequence("target_start", "target_end")).alias("col"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def waved(frame: DataFrame) -> DataFrame:
     """Cells with a score that changes along the alignment."""
     wave = ((F.col("col") * 7 + F.col("ord") * 3) % 11) / F.lit(10.0)
-    return cells(aln(spark, sf_dir)).select("target_id", "ord", "query_id", "col", (F.col("score").cast("double") / 10 + wave).alias("score"))
+    return frame.select("target_id", "ord", "query_id", "col", (F.col("score").cast("double") / 10 + wave).alias("score"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return waved(cells(aln(spark, sf_dir)))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
