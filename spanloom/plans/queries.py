@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import alphabet
-from ..operators import assemblies, blocks, confidence, joins, kernel, regions, runs, scores, segments
+from ..operators import assemblies, blocks, confidence, joins, kernel, paths, regions, runs, scores, segments
 from ..sources import readers, sinks, stored
 from . import view, views
 from .adjudicate import annotations, placed, worked
@@ -679,6 +680,19 @@ def viterbi_path(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d, rounds=True)[0].where("kind = 'segment'").select("region_id", "round", "row", F.col("start").alias("col_start"), F.col("end").alias("col_end"))
 
 
+@query()
+def blocked_path(spark: SparkSession, d: str, width: int = 256) -> DataFrame:
+    """The best path along each target in blocks of columns: queries play rows, each with its best alignment's confidence, and some cells have no owner."""
+    a = stored.store(aln(spark, d), "aln")
+    shared = scores.softmax(views.waved(views.cells(a)), ["target_id", "col"])
+    rows = stored.store(shared.groupBy("target_id", "col", F.col("query_id").alias("row")).agg(F.max("conf").alias("conf")), "rows")
+    cols = rows.groupBy("target_id", "col").agg((1 - F.sum("conf")).alias("skip"))
+    at = F.row_number().over(W.partitionBy("target_id").orderBy("col")) - 1
+    skip = cols.select("target_id", "col", at.cast("long").alias("at"), F.lit(0).cast("long").alias("row"), (F.col("skip") * 0.005).alias("conf"), F.lit(False).alias("solid"))
+    cells = rows.join(skip.select("target_id", "col", "at"), ["target_id", "col"]).withColumn("solid", (F.col("col") + F.col("row")) % 7 != 0).unionByName(skip)
+    return paths.paths(cells.select(F.col("target_id").alias("region_id"), "at", "col", "row", "solid", scores.ln(F.col("conf")).alias("log")), -3.0, -2.5, width=width)
+
+
 @query()
 def split_trace(spark: SparkSession, d: str) -> DataFrame:
     """What each round settles."""
