@@ -61,7 +61,7 @@ def region_number(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ISLANDS + " SELECT target_id, ord, CAST(region AS BIGINT) AS region FROM numbered")
 def assign_region(spark: SparkSession, d: str) -> DataFrame:
-    a = stored.store(aln(spark, d).select("target_id", "ord", "query_id", "strand", "target_start", "target_end"), "aln")
+    a = aln(spark, d)
     return regions.assign(a, regions.regions(a, DISTANCE)).select("target_id", "ord", "region")
 
 
