@@ -43,6 +43,19 @@ def test_decode(spark):
             assert r.d is None, r.text
 
 
+def test_decode_long(spark):
+    """Strings of tens of thousands of edits: neither the pattern's depth nor the time grows beyond the string's length."""
+    n = 20_000
+    texts = [t * n for t in ("AA-GC-TA+GG+A", "A-C--G-T", "AAG/CAA")] + ["A/C" + "/G" * n, "A-" + "C" * n, "A-G+C" * n, "A" * n + "a"]
+    got = [r.d for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", alphabet.decode(F.col("text")).alias("d")).orderBy("i").collect()]
+    for d, t in zip(got, texts):
+        unit = GOLDEN.get(t[: len(t) // n])
+        assert unit is None or (list(d.target), list(d.query)) == (unit[0] * n, unit[1] * n)
+    assert (list(got[3].target), list(got[3].query)) == ([0], [2])
+    assert list(got[4].target) == [0] + [1] * n and list(got[4].query) == [0, 12] + [13] * (n - 1)
+    assert got[5] is None and got[6] is None
+
+
 def test_matrices():
     m = readers.parse_matrices(MATRIX + "#matrix m2\nA C\n1 2\n3 4\n")
     assert m["m1"].raw[0][1] == -17 and m["m1"].raw[12][0] == 0.0 and m["m2"].raw[1][0] == 3 and m["m2"].gap_open == -27
