@@ -1,6 +1,7 @@
 """What both searches over vectors share: shards of candidates, each with an index of its own, and the queries that come to it in batches.
 
-Candidates are dealt by a hash of their id to shards of about ``SHARD`` rows, and the stated queries go to every shard. A task reads
+Candidates are dealt by a hash of their id to shards of about ``SHARD`` rows, and the stated queries go to every shard. What is sent is the number of queries
+times that of shards, so a table that has more than ``SHARDS`` of them gets larger ones instead, until a shard's vectors take ``ROOM`` bytes as doubles. A task reads
 its shards one after the other, in order: first a shard's candidates, from which its index is built once, then the queries,
 ``BLOCK`` at a time. So memory follows the shard and the block, never the table or the number of queries; a lost task builds its
 shards' indexes again. Each shard gives its own best rows, and the best of a query over all shards are taken by rank, which Spark does
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import lean
 
 SHARD, BLOCK = 4096, 1024
+SHARDS, ROOM = 4096, 32 << 20
 
 #: Of one batch of queries: for each row found the query's place in the batch, the candidate's id, the score.
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -66,13 +68,19 @@ def runs(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple[
             yield tuple(keys[:, a].tolist()), b.slice(a, e - a)
 
 
+def shards_of(rows: int, size: int, shard: int = SHARD, most: int = SHARDS, room: int = ROOM) -> int:
+    """How many shards ``rows`` vectors of at most ``size`` components are dealt to. It follows from the table alone, not from the cluster."""
+    wide = max(shard, min(-(-rows // most), room // (8 * max(1, size))))
+    return max(1, -(-rows // wide))
+
+
 def search(frame: DataFrame, every: int, k: int, build: Callable[[np.ndarray, np.ndarray], object], ask: Callable[[object, np.ndarray, np.ndarray], Found],
            score_type: str, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score. ``frame`` has (id, v); queries are its rows whose id ``every`` divides, one for each id and vector.
     ``build(ids, vectors)`` makes a shard's index, ``ask(index, query ids, queries)`` finds each query's best rows in it."""
     lean(frame)
     spark = frame.sparkSession
-    shards = max(1, -(-frame.count() // shard))
+    shards = shards_of(*frame.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first(), shard)
     parts = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
     dim = F.size("v").alias("dim")
     rows = frame.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), dim, F.lit(0).alias("asks"), "id", "v")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, queries, resemblance, simhash, topk
+from spanloom.llm import chat, langid, licenses, mixing, neighbours, oracles, pieces, pii, quality, queries, resemblance, simhash, topk, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ", size long, key__ long, fp string, copies__ string"
@@ -108,6 +108,15 @@ def test_neighbours_of_very_different_lengths(spark, long):
         assert mine.vec_id.tolist() == ids and mine.score.tolist() == scores.tolist()
 
 
+def test_shards_grow():
+    """Few rows: shards of a fixed size. Many: as many shards as are allowed, of more rows, up to the room that a shard has."""
+    assert [vectors.shards_of(n, 64) for n in (0, 1, 4096, 4097, 10_256)] == [1, 1, 1, 2, 3]
+    assert vectors.shards_of(4096 * 4096, 64) == 4096 and vectors.shards_of(100_000_000, 64) == 4096
+    wide = vectors.ROOM // (8 * 64)
+    assert vectors.shards_of(10**9, 64) == -(-(10**9) // wide) and vectors.shards_of(10**9, 10**6) == -(-(10**9) // vectors.SHARD)
+    assert vectors.shards_of(1000, 8, shard=10, most=5, room=8 * 8 * 300) == 5 and vectors.shards_of(1000, 8, shard=10, most=2, room=8 * 8 * 300) == 4
+
+
 def test_neighbours_recall(spark):
     """64 dimensions without structure, the factor of the query, repeated rows and repeated ids."""
     x = np.random.default_rng(15).normal(size=(3000, 64))
