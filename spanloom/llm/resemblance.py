@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import lean, store
@@ -135,12 +136,17 @@ def rest_pairs(rated: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     through = fit.where("root <> main").alias("f").join(fit.alias("e"), (F.col("f.hub") == F.col("e.hub")) & near & once & enough).select(*ends)
     # Else they share a shingle that the hub has not.
     mine, its = sets, sets.select(F.col("fp").alias("hub"), F.col("held").alias("hub_held"))
-    own = rest.join(mine, "fp").join(its, "hub").select("fp", "hub", "root", "j", F.explode(F.array_except("held", "hub_held")).alias("h"))
+    own = rest.join(mine, "fp").join(its, "hub").select("fp", "hub", "both", "size", "root", "j", F.explode(F.array_except("held", "hub_held")).alias("h"))
     own = own.repartition("hub", "h")  # a hub with many sets around it is split in the join above, not held together for what follows
     lists = own.groupBy("hub", "h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("sum")).where("low <> high")
-    mixed = lists.groupBy("n", "sum").agg(F.min(F.struct("hub", "h")).alias("one")).select("one.*")  # of shingles that the same sets have, one
-    own = store(own.join(mixed, ["hub", "h"]), "own")
-    beside = own.alias("f").join(own.alias("e"), (F.col("f.hub") == F.col("e.hub")) & (F.col("f.h") == F.col("e.h")) & near & (F.col("f.fp") < F.col("e.fp"))).select(*ends)
+    one = F.struct("n", "sum").alias("same")  # shingles that the same sets have count as one, with their number
+    mixed = lists.groupBy("hub", one).agg(F.min("h").alias("h"), F.count("*").alias("of_same"))
+    # Of what two sets share beside the hub, all lies behind the rarest of it in either's order from rare to frequent.
+    behind = F.sum("of_same").over(W.partitionBy("hub", "fp").orderBy("same").rowsBetween(W.currentRow, W.unboundedFollowing))
+    own = own.join(mixed, ["hub", "h"]).withColumn("behind", behind)
+    own = store(own.where(F.col("behind") + F.col("both") >= least * F.col("size") - 1e-9), "own")
+    reach = F.least("f.behind", "e.behind") + F.least("f.both", "e.both") >= F.lit(least / (1 + least)) * (F.col("f.size") + F.col("e.size")) - F.lit(1e-9)
+    beside = own.alias("f").join(own.alias("e"), (F.col("f.hub") == F.col("e.hub")) & (F.col("f.h") == F.col("e.h")) & near & reach & (F.col("f.fp") < F.col("e.fp"))).select(*ends)
     return ordered(through.unionByName(beside))
 
 

@@ -701,3 +701,25 @@ def test_resemblance(spark, most):
     kept = simhash.one_of_each(docs(spark, rows), found=resemblance.near_duplicates(docs(spark, rows)))
     assert sorted(r.doc_id for r in kept.collect()) == sorted({rows[top(i)][0] for i in range(len(rows))})
     assert resemblance.near_duplicates(empty(spark)).count() == 0
+
+
+def similar(a, b):
+    x, y = (set(resemblance.shingles(t).tolist()) for t in (a, b))
+    return len(x & y) >= 0.8 * len(x | y) - 1e-9
+
+
+def test_resemblance_of_many_with_one_passage(spark, monkeypatch):
+    """Sets around a hub that share a passage which the hub has not: few of their pairs are compared, those that are alike among them."""
+    rng = np.random.default_rng(32)
+    words = lambda n, of: [f"{of}{k}" for k in rng.integers(0, 10**6, n)]
+    family, passage, texts = words(100, "f"), words(12, "p"), []
+    texts.append(" ".join(family))
+    for i in range(120):
+        body = family + words(10, f"x{i}y") + passage + words(10, f"z{i}y")
+        texts += [" ".join(body)] + ([" ".join([*body, "tail"])] if i % 30 == 0 else [])
+    counts, compared = [], resemblance.compared
+    monkeypatch.setattr(resemblance, "compared", lambda pairs, sets: counts.append(pairs.count()) or compared(pairs, sets))
+    found = resemblance.near_duplicates(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+    want = [next(j for j, u in enumerate(texts) if similar(t, u)) for t in texts]
+    assert [r.component_id for r in sorted(found, key=lambda r: r.doc_id)] == want and len(set(want)) == 121
+    assert sum(counts) < 10 * len(texts)
