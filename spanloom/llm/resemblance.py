@@ -1,15 +1,18 @@
-"""Texts that share most of their word shingles: MinHash candidates, verified by exact Jaccard similarity.
+"""Texts that share most of their word shingles: SimHash and MinHash candidates, verified by exact Jaccard similarity.
 
-A text is the set of its five-word shingles, hashed. ``BANDS`` bands of ``ROWS`` minima each put it into as many buckets;
-two texts of similarity s share one with probability ``1 - (1 - s ** ROWS) ** BANDS``: 0.9999 at 0.8. Pairs of a bucket are
-candidates only; those with a Jaccard similarity of ``least`` or more, counted on the whole sets, are linked. Components
+A text is the set of its five-word shingles, hashed. First the operator of ``simhash`` works: the sets' texts get its fingerprints, its covering tables give the
+links within four bits, and those that hold on the whole sets, a Jaccard similarity of ``least`` or more, are contracted into components. Texts of that
+similarity often differ in more bits, so MinHash follows for what is still apart: ``BANDS`` bands of ``ROWS`` minima each put it into as many buckets;
+two texts of similarity s share one with probability ``1 - (1 - s ** ROWS) ** BANDS``: 0.9999 at 0.8. Pairs of different
+components in a bucket are candidates only; those with a Jaccard similarity of ``least`` or more, counted on the whole sets, are linked. Components
 follow as in ``simhash``: a text is linked to another of its component, not to each of them.
 
 Only distinct sets are searched, so copies cost nothing. A bucket of at most ``MOST`` sets gives all its pairs. A larger one is mostly a family
 of near copies around one text. Of its sets the one that is in the largest buckets is its hub, and every set is compared with the hubs of its buckets;
 what is in one component then needs no more comparing. Where a hub still has several components around it, a pair of different ones is compared unless it cannot be alike, by two
 exact rules: one minus the similarity is a metric, so that the similarities of two such sets to the hub differ by at most ``1 - least``; and sets of n and m shingles share at least
-``least / (1 + least) * (n + m)``, so that each shares as many with the hub, or the two share one that the hub has not, by which they are joined. No pair is left
+``least / (1 + least) * (n + m)``, so that each shares as many with the hub, or the two share some that the hub has not. They are joined by these, from rare to frequent, as long as what lies
+behind in the order and what is shared with the hub can make up that number: a passage that many have does not join them all. No pair is left
 out for the size of its bucket, and no bucket is held by one task.
 
 Defined results: a null text is empty; texts without words are alike; fewer words than a shingle make one shingle;
@@ -28,7 +31,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import lean, store
-from .simhash import components
+from .simhash import components, fingerprint
+from .simhash import links as covering_links
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -66,20 +70,21 @@ def long(numbers: list[int]) -> pa.Array:
 
 
 def described(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, fp, buckets): key is a hash of the text, fp names its set."""
+    """(doc_id, key, fp, buckets, sim): key is a hash of the text, fp names its set, sim is its SimHash fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, flat = [], []
+            names, flat, sims = [], [], []
             for t in b.column(1):
                 held = shingles(t.as_py())
                 names.append(name(held))
                 flat += buckets(held)
+                sims.append(fingerprint(t.as_py()))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), long(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), long(names), lists], ["doc_id", "key", "fp", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), long(names), lists, long(sims)], ["doc_id", "key", "fp", "buckets", "sim"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key")).mapInArrow(run, f"doc_id {kind}, key long, fp long, buckets array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key")).mapInArrow(run, f"doc_id {kind}, key long, fp long, buckets array<long>, sim long")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -112,10 +117,29 @@ def with_hubs(shared: DataFrame, most: int) -> DataFrame:
 
 
 def small_pairs(shared: DataFrame, most: int) -> DataFrame:
-    """All pairs of each bucket of at most ``most`` sets."""
-    lists = shared.where(F.col("n") <= most).groupBy("bucket").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    ends = lists.select("fps", F.posexplode("fps").alias("i", "a"))
-    return ends.select("a", F.explode(F.slice("fps", F.col("i") + 2, most)).alias("b"))
+    """The pairs of different components of each bucket of at most ``most`` sets."""
+    lists = shared.where(F.col("n") <= most).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("fp", "root"))).alias("sets"))
+    ends = lists.select("sets", F.posexplode("sets").alias("i", "a"))
+    pairs = ends.select("a", F.explode(F.slice("sets", F.col("i") + 2, most)).alias("b")).where("a.root <> b.root")
+    return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def simhash_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): links between sets whose texts' fingerprints are within the radius of ``simhash``, as its covering tables give them; sets of one fingerprint are
+    paired with the first of them."""
+    sims = distinct.select("fp", F.col("first.sim").alias("sim"))
+    heads = store(sims.groupBy("sim").agg(F.min("fp").alias("head"), F.count("*").alias("n")), "heads")
+    same = sims.join(heads.where("n > 1"), "sim").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    found = covering_links(heads.select(F.col("sim").alias("fp")))
+    one, two = (heads.select(F.col("sim").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
+    across = found.join(one, "a").join(two, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return store(ordered(same.unionByName(across)), "within")
+
+
+def still_apart(shared: DataFrame) -> DataFrame:
+    """The rows of buckets with sets of different components."""
+    mixed = shared.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return store(shared.join(mixed, "bucket"), "apart")
 
 
 def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -155,8 +179,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lean(docs)
     slim = store(described(docs, doc_id, text), "described")
     distinct = store(
-        slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.first("buckets").alias("buckets")), "distinct"
+        slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "sim")).alias("first"), F.first("buckets").alias("buckets")), "distinct"
     )
+    within = simhash_pairs(distinct)
     shared = shared_buckets(distinct)
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +189,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for fp, t in zip(b.column(0), b.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array([fp.as_py()], pa.int64()), pa.array([shingles(t.as_py()).view(np.int64)], pa.list_(pa.int64()))], ["fp", "held"])
 
-    first = distinct.join(shared.select("fp").distinct(), "fp").select("fp", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
+    asked = shared.select("fp").unionByName(within.select(F.col("a").alias("fp"))).unionByName(within.select(F.col("b").alias("fp"))).distinct()
+    first = distinct.join(asked, "fp").select("fp", F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     texts = read.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))).select("fp", "text")
     sets = store(texts.mapInArrow(whole, "fp long, held array<long>").dropDuplicates(["fp"]), "sets")
 
-    links = alike(compared(ordered(small_pairs(shared, most)), sets), least)
-    large = with_hubs(shared, most)
+    links = alike(compared(within, sets), least)
+    apart = still_apart(labelled(shared, links))
+    links = links.unionByName(alike(compared(ordered(small_pairs(apart, most)), sets), least))
+    large = with_hubs(apart, most)
     if not large.isEmpty():
         hubs = compared(large.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), sets)
         links = links.unionByName(alike(hubs, least))

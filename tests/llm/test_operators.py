@@ -708,6 +708,28 @@ def similar(a, b):
     return len(x & y) >= 0.8 * len(x | y) - 1e-9
 
 
+def test_resemblance_goes_through_simhash(spark, monkeypatch):
+    """Without any MinHash bucket the links within four bits that hold on the whole sets are there, and no others."""
+    rng = np.random.default_rng(31)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    texts = []
+    for _ in range(12):
+        body = list(rng.choice(vocabulary, 150))
+        texts += [" ".join(body), " ".join([*body, "more"]), " ".join(body[:140]), " ".join([*body[:70], *rng.choice(vocabulary, 80)])]
+    texts += ["a b c d e f", "a b c d e f g", "", None]
+    prints = [simhash.fingerprint(t) for t in texts]
+    want = list(range(len(texts)))
+    for _ in want:  # labels run along the links
+        for i, j in itertools.permutations(range(len(texts)), 2):
+            if (prints[i] ^ prints[j]).bit_count() <= 4 and similar(texts[i], texts[j]):
+                want[i] = min(want[i], want[j])
+    assert 12 <= sum(w != i for i, w in enumerate(want))
+    shared = resemblance.shared_buckets
+    monkeypatch.setattr(resemblance, "shared_buckets", lambda distinct: shared(distinct).limit(0))
+    found = resemblance.near_duplicates(docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+    assert [r.component_id for r in sorted(found, key=lambda r: r.doc_id)] == want
+
+
 def test_resemblance_of_many_with_one_passage(spark, monkeypatch):
     """Sets around a hub that share a passage which the hub has not: few of their pairs are compared, those that are alike among them."""
     rng = np.random.default_rng(32)
