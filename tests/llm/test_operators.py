@@ -745,3 +745,30 @@ def test_resemblance_of_many_with_one_passage(spark, monkeypatch):
     want = [next(j for j, u in enumerate(texts) if similar(t, u)) for t in texts]
     assert [r.component_id for r in sorted(found, key=lambda r: r.doc_id)] == want and len(set(want)) == 121
     assert sum(counts) < 10 * len(texts)
+
+
+@pytest.mark.parametrize("rare", [2, 30])
+def test_quality_learns_from_all_rows(spark, rare):
+    """Several blocks: cuts, weights and threshold are those of all rows, whose pairs are drawn block by block."""
+    rng = np.random.default_rng(41)
+    rows = [(i, int(i % rare > 0), [float(x) for x in np.round(rng.normal(0.2 * (i % rare > 0), 1, len(quality.NAMES)), 1)]) for i in range(600)] + [(7, 1, [0.5] * len(quality.NAMES))] * 5
+    values, good = np.array([r[2] for r in rows]), np.array([r[1] for r in rows]) == 1
+    seen, sums = [], quality.sums_of
+    frame = spark.createDataFrame(rows, "id long, good int, f array<double>")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "sums_of", lambda blocks, w: seen.append(blocks) or sums(blocks, w))
+        cuts, w, middle = quality.learn(frame, 0.6, block=100)
+    assert np.allclose(cuts, np.quantile(values, np.linspace(0, 1, quality.STEPS + 2)[1:-1], axis=0).T)
+    held = [b.rows for b in seen[0].collect()]
+    assert len(held) == -(-max(good.sum(), (~good).sum()) // 100) > 1 and all({r.good for r in b} == {0, 1} for b in held)
+    assert len({(r.salt, r.good) for b in held for r in b}) == len(rows)
+    first = -w
+    for b in held:
+        x = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8))[: len(w)] for r in b], float)
+        up, down = quality.drawn(np.array([r.good for r in b]) == 1)
+        d = x[up] - x[down]
+        first = first + d.T @ (1 / (1 + np.exp(d @ w)))
+    assert np.abs(first).max() < 1e-2
+    strength = quality.steps(values, cuts) @ w
+    weight = np.where(good, 0.6 / good.sum(), 0.4 / (~good).sum())
+    assert abs(weight[strength > middle].sum() - 0.6) <= weight.max() + 1e-9 or np.isclose(strength, middle).any()
