@@ -135,13 +135,14 @@ def links(distinct: DataFrame, radius: int = 4, most: int = 4096) -> DataFrame:
     for turn in range(3):
         rows = dealt(rows, turn)
         # Buckets of one fingerprint, nearly all of them, go before anything is gathered. The bucket's hash may join two buckets: more to compare, nothing lost.
+        # Both sides are merged: Spark sizes a row and all its tables as that row, so that it would broadcast every table's rows.
         count = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rows = rows.join(count, "bucket")
+        rows = rows.hint("merge").join(count, "bucket")
         if turn < 2:
             rows = store(rows, f"buckets{turn}")
             large = rows.where(F.col("n") > most)
         small = rows if turn == 2 else rows.where(F.col("n") <= most)
-        small = small.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
+        small = small.select("bucket", "fp").repartition(F.xxhash64("bucket")).sortWithinPartitions("bucket", "fp")
         parts.append(store(small.mapInPandas(runs, "a long, b long").distinct(), f"links{turn}"))
         if turn == 2 or large.isEmpty():
             break
