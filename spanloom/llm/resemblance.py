@@ -105,7 +105,8 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def shared_buckets(distinct: DataFrame) -> DataFrame:
     """fp, bucket, n (sets of the bucket): for buckets of several sets."""
     rows = distinct.select("fp", F.explode("buckets").alias("bucket"))
-    return store(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "shared")
+    # Merged: Spark sizes the rows of all bands as one row of a set, and would broadcast them.
+    return store(rows.hint("merge").join(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "shared")
 
 
 def with_hubs(shared: DataFrame, most: int) -> DataFrame:
