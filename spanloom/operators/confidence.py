@@ -48,8 +48,7 @@ def scored(located: DataFrame, spans: DataFrame, matrices: dict[str, Matrix], wi
     """region_id, id, col, s, g: scores of columns against the composition around them."""
     letters = F.filter("target_codes", lambda c: (c != GAP_OPEN) & (c != GAP_EXTEND))
     rows = located.select("region_id", "target_start", letters.alias("codes"), F.struct("target_start", "query_id", "ali_id").alias("order"))
-    bases = scores.region_bases(rows, spans, ["region_id"], "order", low="start", high="end")
-    around = scores.background(bases, ["region_id"], "pos", "code", width=width).withColumnRenamed("pos", "col")
+    around = scores.region_background(rows, spans, ["region_id"], "order", low="start", high="end", width=width).withColumnRenamed("pos", "col")
     share = F.get(F.array(*(F.col(f"bg_{b}") for b in "acgt")), F.col("t").cast("int"))
     plain = F.when(F.col("core").isNotNull(), scores.against(F.col("core"), share)).otherwise(F.col("fixed"))
     return columns(located, matrices).join(around, ["region_id", "col"]).select("region_id", "id", "col", (plain + F.col("share")).alias("s"), "g")
