@@ -32,16 +32,20 @@ def columns(located: DataFrame, matrices: dict[str, Matrix]) -> DataFrame:
     """region_id, id, col, t, q, core, fixed, share, g: a row for each target column of each alignment. ``fixed`` is the matrix's score, ``core`` the ratio of a pair of bases (else null), ``share`` the
     column's part of a gap of the query, ``g`` the score of a gap of the target right before it."""
     keys = ["region_id", "id"]
-    chars = located.select("region_id", F.col("ali_id").alias("id"), "target_start", "matrix", F.posexplode(F.arrays_zip(F.col("target_codes").alias("t"), F.col("query_codes").alias("q"))).alias("i", "c"))
+    rows = located.select("region_id", F.col("ali_id").alias("id"), "target_start", "matrix", F.arrays_zip(F.col("target_codes").alias("t"), F.col("query_codes").alias("q")).alias("c"))
+    # Alignments are dealt, not their characters, and a matrix is left behind before anything is sorted.
+    chars = rows.repartition(*keys).select(*keys, "target_start", "matrix", F.posexplode("c").alias("i", "c"))
     chars = chars.select(*keys, "target_start", "matrix", F.col("i").cast("long").alias("i"), F.col("c.t").alias("t"), F.col("c.q").alias("q"))
-    chars = chars.join(F.broadcast(matrix_table(located.sparkSession, matrices)), "matrix")
-    opening, extension = F.col("opening"), F.col("extension")
-    with_runs = scores.gap_runs(chars.withColumn("gap", is_gap("q")), keys, "i", "gap", opening, extension)
-    kept = scores.target_gaps(with_runs.withColumn("gap", is_gap("t")), keys, "i", "gap", opening, extension)
-    col = F.col("target_start") + F.row_number().over(W.partitionBy(*keys).orderBy("i")) - 1
     t, q = F.col("t").cast("int"), F.col("q").cast("int")
     core = F.when((t < 4) & (q < 4), F.get("core", t * 4 + q))
-    return kept.select(*keys, col.cast("long").alias("col"), "t", core.alias("core"), F.get("table", t * LETTERS + q).alias("fixed"), "share", "g")
+    chars = chars.join(F.broadcast(matrix_table(located.sparkSession, matrices)), "matrix").select(
+        *keys, "target_start", "i", "t", is_gap("t").alias("over"), is_gap("q").alias("gap"), core.alias("core"), F.get("table", t * LETTERS + q).alias("fixed"), "opening", "extension"
+    )
+    opening, extension = F.col("opening"), F.col("extension")
+    with_runs = scores.gap_runs(chars, keys, "i", "gap", opening, extension)
+    kept = scores.target_gaps(with_runs, keys, "i", "over", opening, extension)
+    col = F.col("target_start") + F.row_number().over(W.partitionBy(*keys).orderBy("i")) - 1
+    return kept.select(*keys, col.cast("long").alias("col"), "t", "core", "fixed", "share", "g")
 
 
 def scored(located: DataFrame, spans: DataFrame, matrices: dict[str, Matrix], width: int) -> DataFrame:

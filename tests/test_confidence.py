@@ -68,3 +68,13 @@ def test_chain_equals_the_kernel(spark, settings):
     assert all(got[k] == pytest.approx(v, rel=1e-8, abs=1e-12) for k, v in want.items())
     assert all(left[k] == pytest.approx(v, rel=1e-8, abs=1e-12) for k, v in skip.items())
     assert confidence.confidences(a.limit(0), matrices, settings).count() == 0
+
+
+def test_characters_are_not_shuffled(spark):
+    """Alignments are dealt, and no sort holds a matrix."""
+    located = spark.createDataFrame([(1, 7, 3, "m", [0, 1], [0, 2])], "region_id long, ali_id long, target_start long, matrix string, target_codes array<int>, query_codes array<int>")
+    m = readers.Matrix("m", -27.0, -5.0, 0.12, [0.25] * 4, [0.25] * 4, [[1.0] * 15 for _ in range(15)])
+    plan = confidence.columns(located, {"m": m})._jdf.queryExecution().executedPlan().toString()
+    head = plan[: plan.index("Exchange hashpartitioning")]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate posexplode" in head
+    assert "table" not in head[: head.rindex("Window")]
