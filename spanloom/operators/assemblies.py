@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scores import softmax
+
 
 def copy_fill(owned: DataFrame, cells: DataFrame, skip: DataFrame, keys: list[str], col: str, owner: list[str], value: str = "conf") -> DataFrame:
     """``owned`` (keys, col, row, owner) with ``value``: that of the owner's cell in the column, and of the skip row where there is no owner or it has no cell. Both are looked up, each row once."""
@@ -13,6 +16,27 @@ def copy_fill(owned: DataFrame, cells: DataFrame, skip: DataFrame, keys: list[st
     return owned.join(found, [*keys, col, *owner], "left").join(rest, [*keys, col], "left").withColumn(value, F.coalesce("__own", "__rest")).drop("__own", "__rest")
 
 
+def dealt(frame: DataFrame, low: str, high: str, stretch: int) -> DataFrame:
+    """``frame`` with what each row's range has in the stretch (``__stretch``) that it is given to, as ``__low`` and ``__high``."""
+    f = frame.withColumn("__stretch", F.explode(F.sequence(F.floor(F.col(low) / stretch), F.floor(F.col(high) / stretch))))
+    return f.withColumns({"__low": F.greatest(low, F.col("__stretch") * stretch).cast("long"), "__high": F.least(high, F.col("__stretch") * stretch + (stretch - 1)).cast("long")})
+
+
+def copy_fill_ranges(extents: DataFrame, members: DataFrame, score: Column, key: str, row: str, owner: str, own: list[str], stretch: int = 64) -> DataFrame:
+    """``copy_fill`` of ranges whose cells are made where they lie, with one shuffle of ranges and none of cells: key, row, the columns ``own`` of ``extents`` (key, row, low, high), col, owner and conf. ``members`` (key, row,
+    owner, low, high and what ``score`` needs beside ``col``) cover columns; of those of one row the smallest owner has a column, which gives its share of the column's softmax; without an owner it is the skip row's,
+    and nothing where no member covers the column."""
+    names = [c for c in members.columns if c not in (key, row, "low", "high")]
+    side = lambda f: dealt(f, "low", "high", stretch).drop("low", "high")
+    both = side(members).withColumn("__member", F.lit(True)).unionByName(side(extents).withColumn("__member", F.lit(False)), allowMissingColumns=True)
+    f = both.repartition(key, "__stretch").select(key, row, "__stretch", "__member", *names, *own, F.explode(F.sequence("__low", "__high")).alias("col"))
+    f = softmax(f.withColumn("__score", F.when(F.col("__member"), score)), [key, "__stretch", "col"], "__score")
+    column = W.partitionBy(key, "__stretch", "col")
+    first = F.min(F.when(F.col("__member"), F.struct(F.col(owner).alias("o"), F.col("conf").alias("c")))).over(W.partitionBy(key, "__stretch", "col", row))
+    f = f.withColumn("__rest", 1 - F.sum("conf").over(column)).withColumn("__first", first).where(~F.col("__member"))
+    return f.select(key, row, *own, "col", F.col("__first.o").alias(owner), F.coalesce("__first.c", "__rest").alias("conf"))
+
+
 def best(frame: DataFrame, keys: list[str], score: str, row: str, last: bool = True) -> DataFrame:
     """keys, row, score: the row with the highest score; of equals the last one, or the first."""
     tie = F.col(row) if last else -F.col(row)
